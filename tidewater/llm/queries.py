@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import simhash
+from tidewater.llm import lines, packing, pii, quality_rules, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +17,43 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op10_simhash": op10_simhash}
-ORACLE: dict[str, str] = {}
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(documents(spark, sf_dir)).drop("redacted")
+
+
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.drop_frequent_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
+
+
+QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op4_packing": op4_packing,
+    "op7_pii": op7_pii,
+    "op9_lines": op9_lines,
+    "op10_simhash": op10_simhash,
+}
+
+#: ASCII white space, and A-Z lower-cased, as SQL.
+_SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    "op9_lines": f"""
+        with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
+        line as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from split),
+        keyed as (select *, {_LOWER.format(f"trim(line, {_SPACE})")} as k from line),
+        often as (select k from keyed where k <> '' group by k having count(distinct doc_id) >= 10)
+        select doc_id, count(*) as n_lines, count(*) filter (where o.k is not null) as n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) order by i) filter (where o.k is null), '')) as kept_sha256
+        from keyed left join often o using (k) group by doc_id""",
+}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: ASCII white space; what bytes.split() and bytes.strip() take, too.
 SPACE = " \t\n\x0b\x0c\r"
 #: Characters that a task handles at once.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 4_000_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -67,7 +67,7 @@ def map_texts(df: DataFrame, make: Callable[[list[bytes]], dict[str, list]], sch
             made = make(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(made[c], types[c]) for c in own)], names=[*keep, *own])
 
-    return df.select(*keep, text).mapInArrow(each, f"{kept}, {schema}")
+    return df.select(*dict.fromkeys((*keep, text))).mapInArrow(each, f"{kept}, {schema}")
 
 
 def _arrow(kind: str) -> pa.DataType:
