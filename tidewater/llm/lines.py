@@ -135,6 +135,8 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int
     drops = stored(keys.join(frequent, "key", "left_semi").groupBy("owner").agg(F.collect_set("key").alias("_drops")), "line-drops")
     unstored(keys)
     unstored(frequent)
-    joined = docs.withColumn("_owner", _owner()).join(drops.withColumnRenamed("owner", "_owner"), "_owner", "left").select(*docs.columns, "_drops")
+    # One shuffle of the texts at every size: what is to be dropped grows with the corpus, so it is never broadcast.
+    drops = drops.withColumnRenamed("owner", "_owner").hint("merge")
+    joined = docs.withColumn("_owner", _owner()).join(drops, "_owner", "left").select(*docs.columns, "_drops")
     schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
     return joined.mapInArrow(_cut, schema)
