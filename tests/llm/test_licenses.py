@@ -1,0 +1,35 @@
+import duckdb
+import pytest
+
+from tidewater.llm import licenses, queries
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_query_against_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    got = queries.op1_licenses(spark, SF)
+    want = con.sql(f"select {', '.join(got.columns)} from ({queries.ORACLE['op1_licenses']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 20
+
+
+def test_near_copies_and_edges(spark):
+    mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0"]
+    words = mit.split()
+    near = " ".join([*words[:30], "whatsoever", *words[31:]])
+    far = " ".join(w if i % 4 else "other" for i, w in enumerate(words))
+    filler = "some words of running text " * 37
+    rows = [(1, f"{filler} {mit} {filler}"), (2, f"x {near.upper()}"), (3, far), (4, None), (5, ""), (6, apache + "\n" + mit), (6, apache + "\n" + mit), (None, "all RIGHTS -- reserved"), (7, "word " * 100_000 + apache)]
+    docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, license string")
+    found = sorted(((r.doc_id, r.license) for r in licenses.scan(docs).collect()), key=repr)
+    notice = "Apache-2.0-notice"
+    assert found == sorted([(1, "MIT"), (2, "MIT"), (6, "Apache-2.0"), (6, notice), (6, "MIT"), (None, "all-rights-reserved"), (7, "Apache-2.0"), (7, notice)], key=repr)
+    assert licenses.scan(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        licenses.scan(docs, {"blank": " "})
+
+
+def test_no_python_in_the_plan(spark):
+    plan = queries.op1_licenses(spark, SF)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "ExistingRDD"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import lines, packing, pii, quality_rules, simhash
+from tidewater.llm import fingerprint, licenses, lines, packing, pii, quality_rules, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
@@ -25,6 +29,19 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprint.compare_with_edit(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        fingerprint.as_text("fp").alias("fingerprint"),
+        fingerprint.as_text("edited_fp").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir)).drop("redacted")
 
@@ -36,8 +53,10 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
+    "op5_fingerprints": op5_fingerprints,
     "op7_pii": op7_pii,
     "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
@@ -47,7 +66,23 @@ QUERIES = {
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_VALUES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in sorted(licenses.TEMPLATES.items()))
+_NORMAL = "string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
+
 ORACLE: dict[str, str] = {
+    "op1_licenses": f"""
+        with template as (select license, {_NORMAL} as ws from (values {_VALUES}) v(license, text)),
+        sized as (select license, ws, least(5, len(ws)) as width from template),
+        wanted as (select distinct license, width, array_to_string(ws[i : i + width - 1], ' ') as s
+                   from (select *, unnest(range(1, len(ws) - width + 2)) as i from sized)),
+        total as (select license, count(*) as n_shingles from wanted group by license),
+        doc as (select doc_id, {_NORMAL} as ws from documents),
+        held as (select distinct doc_id, width, array_to_string(ws[i : i + width - 1], ' ') as s
+                 from (select doc_id, ws, width, unnest(range(1, len(ws) - width + 2)) as i
+                       from doc, (select distinct width from sized)))
+        select doc_id, license, n_shingles, count(*) as n_found, count(*) / n_shingles as containment
+        from held join wanted using (width, s) join total using (license)
+        group by doc_id, license, n_shingles having count(*) / n_shingles >= 0.8""",
     "op9_lines": f"""
         with split as (select doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents),
         line as (select doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as i from split),
