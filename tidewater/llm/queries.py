@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import fingerprint, licenses, lines, packing, pii, quality_rules, simhash
+from tidewater.llm import bpe, fingerprint, licenses, lines, packing, pii, quality_rules, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,13 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir)).drop("redacted")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    found = bpe.encode_decode(documents(spark, sf_dir))
+    written = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(written).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lines.drop_frequent_lines(documents(spark, sf_dir).select("doc_id", "text"))
     kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
@@ -58,6 +65,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_fingerprints": op5_fingerprints,
     "op7_pii": op7_pii,
+    "op8_bpe": op8_bpe,
     "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
 }
