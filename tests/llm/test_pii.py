@@ -1,0 +1,76 @@
+import hashlib
+import re
+
+from tidewater.llm import pii, queries
+
+SF = "/root/testdata/sf0.01"
+RULES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+ODD = [
+    "", "a@b", "a@b.c", "x@@y.z", "a@b.c@d.e", "a@b.c.@d.e.f", "..%+-@-.-", "a@b..c", "é@b.c d@é.f", "1.2.3.4.5.6.7.8", "01.002.0003.255", "1.2.3.256 1.2.3.4", "1.2.3.4a", "4111 1111-1111 1111", "4111111111111111 4111111111111111",
+    "4111  1111 1111 1111", "+1 (456) 555-2186.", "+1 (456) 555-2186 4111111111111111", "+1+2 345 678 90 12", "+1()", "++12345678901", "+1 2345678901234567", "a@b.c1.2.3.4", "1.2.3.4@5.6",
+]
+
+
+def luhn(d):
+    doubled = [int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))]
+    return sum(doubled) % 10 == 0
+
+
+def brute(text):
+    spans = []
+    for k, (kind, rule) in enumerate(RULES.items()):
+        for m in re.finditer(rule, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            fits = {"email": True, "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else False, "card": 14 <= len(digits) <= 19 and luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+            if fits:
+                spans.append((m.start(), m.end(), k))
+    return sorted(spans, key=lambda s: (s[0], s[2]))
+
+
+def test_base_spans():
+    for text in [*ODD, " ".join(ODD), "".join(ODD)]:
+        assert pii.base_spans(text) == brute(text), text
+    for long in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 150_000, "a@" * 150_000, "1 " * 150_000):
+        pii.base_spans(long)
+
+
+def test_query_against_brute_force(spark):
+    rows = queries.documents(spark, SF).select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in queries.op7_pii(spark, SF).collect()}
+    assert len(got) == len(rows)
+    secrets = found = 0
+    for doc, text in rows:
+        base, r = brute(text), got[doc]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in base) for k in range(4)]
+        assert r.base_sha256 == hashlib.sha256(pii.written(base).encode()).hexdigest()
+        spans = r.spans.split(",") if r.spans else []
+        assert set(pii.written(base).split(",")) - {""} <= set(spans) and r.n_added == len(spans) - len(base)
+        known = [m.span() for m in re.finditer(r'AKIA[A-Z0-9]{16}|password=[0-9a-f]+|token = "[0-9a-f]+"', text)]
+        added = [tuple(map(int, s.split(":")[1:])) for s in spans if s.startswith("secret")]
+        secrets += len(known)
+        found += sum(any(a < d and c < b for c, d in added) for a, b in known)
+        assert all(any(a < d and c < b for c, d in known) for a, b in added)  # nothing else is taken for a secret
+    assert secrets > 10 and found >= 0.95 * secrets
+
+
+def test_marginals_and_held_out_rows():
+    model = pii.train(pii.labelled(7, 120))
+    table = pii.labelled(11, 80)
+    labels = pii.Tagger(model).tag([tokens for tokens, _ in table])
+    gold = [pii.LABELS.index(t) for _, tags in table for t in tags]
+    assert sum(a == b for a, b in zip(labels, gold, strict=True)) >= 0.97 * len(gold)
+
+
+def test_redaction_and_edges(spark):
+    rows = [(1, None), (2, ""), (None, "mail a@b.co now"), (3, "x " * 100_000 + "10.0.0.1"), (3, "ok"), (3, "ok")]
+    docs = spark.createDataFrame([(d, t, "k", 1, None if t is None else len(t)) for d, t in rows], "doc_id long, text string, spans string, n_email int, n_chars long")
+    out = pii.redact_pii(docs)
+    assert out.columns == docs.columns
+    found = sorted(((r.doc_id, r.text, r.n_chars) for r in out.collect()), key=repr)
+    assert found == sorted([(1, None, None), (2, "", 0), (None, "mail [EMAIL] now", 16), (3, "x " * 100_000 + "[IP]", 200_004), (3, "ok", 2), (3, "ok", 2)], key=repr)
+    assert pii.redact_pii(docs.limit(0)).count() == 0 and pii.find_pii(docs).count() == 6

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, fingerprint, licenses, lines, packing, pii, quality_rules, simhash
+from tidewater.llm import bpe, fingerprint, langid, licenses, lines, mil, packing, pii, quality_rules, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,17 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def _fold(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n; null for a null id."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir), F.coalesce(_fold(4) == 2, F.lit(False))
+    model = langid.fit(docs.where(~held))
+    return langid.identify(docs, model).withColumn("held_out", held)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir))
 
@@ -42,6 +53,14 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir), F.coalesce(_fold(5) == 0, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    model = mil.fit(docs, labels.where(~held))
+    scored = mil.score(docs, model)
+    return scored.withColumn("held_out", held).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir)).drop("redacted")
 
@@ -61,9 +80,11 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op2_language": op2_language,
     "op3_quality_rules": op3_quality_rules,
     "op4_packing": op4_packing,
     "op5_fingerprints": op5_fingerprints,
+    "op6_quality": op6_quality,
     "op7_pii": op7_pii,
     "op8_bpe": op8_bpe,
     "op9_lines": op9_lines,
