@@ -17,6 +17,9 @@ def test_viterbi_against_all_paths():
         worth = lambda path, e=e: sum(e[t, k] for t, k in enumerate(path)) + sum(transitions[a, b] for a, b in itertools.pairwise(path))
         assert tuple(got[at : at + n]) == max(itertools.product(range(3), repeat=n), key=worth)
         at += n
+    uniform = -0.7 * (1 - np.eye(3))
+    for e in (emissions, np.round(emissions), np.zeros_like(emissions)):
+        assert (viterbi.decode(e, lengths, 0.7) == viterbi.decode(e, lengths, uniform)).all()
     assert len(viterbi.decode(emissions[:0], lengths[:0], transitions)) == 0
 
 

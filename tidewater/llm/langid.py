@@ -172,7 +172,7 @@ class Identifier:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ids = self._ids([w for own in words for w in own])
         scores = self.rows[ids]
-        labels = viterbi.decode_uniform(scores, lengths, SWITCH) if len(ids) and scores.shape[1] else np.zeros(len(ids), np.int16)
+        labels = viterbi.decode(scores, lengths, SWITCH) if len(ids) and scores.shape[1] else np.zeros(len(ids), np.int16)
         ends = np.cumsum(lengths)
         return [(w, labels[e - n : e], scores[e - n : e]) for w, n, e in zip(words, lengths, ends, strict=True)]
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 
 
-def decode(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+def decode(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray | float) -> np.ndarray:
     """The best label of each step of sequences that lie one after another in `emissions` (steps x labels).
 
-    `transitions[i, j]` is added where label j follows i. All sequences advance together, longest first, so that a step
+    `transitions[i, j]` is added where label j follows i; a number is a penalty for any change of label, and then a step
+    takes time in proportion to the labels, not to their square. All sequences advance together, longest first, so that a step
     costs a few array operations however many there are. Of equal paths the one with smaller labels wins.
     """
     labels = np.zeros(len(emissions), np.int16)
@@ -17,6 +18,7 @@ def decode(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray)
     order = order[lengths[order] > 0]
     if not len(order):
         return labels
+    uniform, stay = np.ndim(transitions) == 0, np.arange(emissions.shape[1])
     longest, begin, size = int(lengths[order[0]]), starts[order], lengths[order]
     active = np.searchsorted(-size, -np.arange(longest), side="left")  # sequences longer than t
     back = np.zeros(emissions.shape, np.int16)
@@ -27,10 +29,16 @@ def decode(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray)
         if n < len(best):
             last[n : len(best)] = best[n:].argmax(axis=1)
             best = best[:n]
-        ways = best[:, :, None] + transitions
-        came = ways.argmax(axis=1)
+        if uniform:
+            top = best.argmax(axis=1)[:, None]
+            changed = np.take_along_axis(best, top, axis=1) - transitions
+            came = np.where(changed > best, top, np.where(changed == best, np.minimum(top, stay), stay))
+            best = np.maximum(best, changed) + emissions[begin[:n] + t]
+        else:
+            ways = best[:, :, None] + transitions
+            came = ways.argmax(axis=1)
+            best = np.take_along_axis(ways, came[:, None, :], axis=1)[:, 0, :] + emissions[begin[:n] + t]
         back[begin[:n] + t] = came
-        best = np.take_along_axis(ways, came[:, None, :], axis=1)[:, 0, :] + emissions[begin[:n] + t]
     last[: len(best)] = best.argmax(axis=1)
     for t in range(longest - 1, -1, -1):
         n = active[t]
@@ -45,8 +53,3 @@ def decode(emissions: np.ndarray, lengths: np.ndarray, transitions: np.ndarray)
             labels[at] = last[:n]
     return labels
 
-
-def decode_uniform(emissions: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
-    """decode() for transitions that cost nothing within a label and `penalty` between any two."""
-    n = emissions.shape[1]
-    return decode(emissions, lengths, -penalty * (1 - np.eye(n)))
