@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -44,7 +45,7 @@ def jsd(p, q):
 
 def test_query_against_brute_force(spark):
     rows = queries.documents(spark, SF).select("doc_id", "text", "lang").collect()
-    got = {r.doc_id: r for r in queries.op3_quality_rules(spark, SF).collect()}
+    got = {r.doc_id: r for r in rules.judge(queries.documents(spark, SF)).collect()}
     base, all_shares = {r.doc_id: brute_base(r.text) for r in rows}, {r.doc_id: brute_shares(r.text) for r in rows}
     fit = [r for r in rows if not base[r.doc_id][5] and base[r.doc_id][0] >= rules.REFERENCE_WORDS]
     known = {}
@@ -63,6 +64,14 @@ def test_query_against_brute_force(spark):
     assert len(got) == len(rows) and 0 < sum(g.kept for g in got.values()) < len(rows)
 
 
+def test_query_against_sql(spark):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    got = queries.op3_quality_rules(spark, SF)
+    want = con.sql(f"select {', '.join(got.columns)} from ({queries.ORACLE['op3_quality_rules']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_labels(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     found = queries.op3_quality_rules(spark, SF).join(labels, "doc_id").where("not base_failed").select("kept", "quality").collect()

@@ -33,7 +33,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(documents(spark, sf_dir))
+    return quality_rules.judge(documents(spark, sf_dir)).drop("char_distance", "word_distance")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,50 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _VALUES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in sorted(licenses.TEMPLATES.items()))
 _NORMAL = "string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
 
+_COMMON = ", ".join(f"('{lang}', '{w}', {i})" for lang, ws in quality_rules.COMMON.items() for i, w in enumerate(ws.split()))
+_CLASSES = {"lower": r"[\p{L}\p{M}]", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "stop": r"[.,;:'\"\-()?]", "symbol": r"[#*$%&|<>]", "all": r"[^\x20\x09-\x0D]"}
+_COUNTS = ", ".join("len(regexp_extract_all(t, '{}')) as c_{}".format(c.replace("'", "''"), k) for k, c in _CLASSES.items())
+#: Base 2; the sums of each class or word, nothing for those that one side lacks.
+_JSD = "sqrt(greatest(0, sum((case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2)))"
+
 ORACLE: dict[str, str] = {
+    "op3_quality_rules": f"""
+        with doc as (select doc_id, lang, coalesce(text, '') as t from documents),
+        split as (select doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws, {_COUNTS} from doc),
+        repeated as (select distinct doc_id, i + k as at
+                     from (select doc_id, i, count(*) over (partition by doc_id, array_to_string(ws[i : i + 4], ' ')) as n
+                           from (select doc_id, ws, unnest(range(1, len(ws) - 3)) as i from split)), range(5) r(k) where n > 1),
+        covered as (select doc_id, count(*) as n from repeated group by doc_id),
+        lines as (select doc_id, count(*) - count(distinct line) as n
+                  from (select doc_id, unnest(string_split(t, chr(10))) as line from doc)
+                  where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by doc_id),
+        base as (select s.*, len(ws) as n_words, c_all as word_chars, c_symbol as n_symbols,
+                        coalesce(l.n, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
+                        len(ws) < 10 or 100 * coalesce(c.n, 0) > 20 * len(ws) as base_failed
+                 from split s left join lines l using (doc_id) left join covered c using (doc_id)),
+        chars as (select doc_id, lang, n_words, base_failed, unnest(range(6)) as k,
+                         unnest([c_lower - c_upper, c_upper, c_digit, c_stop, c_symbol, c_all - c_lower - c_digit - c_stop - c_symbol])
+                         / greatest(1, c_all) as p from base),
+        plain as (select doc_id, unnest(regexp_extract_all({_LOWER.format("t")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) as w from doc),
+        total as (select doc_id, count(*) as n from plain group by doc_id),
+        common as (select * from (values {_COMMON}) v(ref, w, k)),
+        hits as (select doc_id, ref, k, count(*) as n from plain join common using (w) group by all),
+        langs as (select distinct ref from common),
+        slots as (select doc_id, lang, n_words, base_failed, ref, k from base, langs, range(41) r(k)
+                  where k <= (select count(*) from common c where c.ref = langs.ref)),
+        found as (select s.*, coalesce(h.n, 0) as n, coalesce(t.n, 0) as all_n,
+                         (select count(*) from common c where c.ref = s.ref) as last
+                  from slots s left join hits h using (doc_id, ref, k) left join total t using (doc_id)),
+        words as (select *, case when k < last then n else all_n - sum(n) over (partition by doc_id, ref) end / greatest(1, all_n) as p from found),
+        fit_chars as (select lang as ref, k, avg(p) as q from chars where not base_failed and n_words >= {quality_rules.REFERENCE_WORDS} and lang in (select ref from langs) group by all),
+        fit_words as (select ref, k, avg(p) as q from words where not base_failed and n_words >= {quality_rules.REFERENCE_WORDS} and lang = ref group by all),
+        char_far as (select doc_id, min(d) as far from (select doc_id, ref, {_JSD} as d from chars join fit_chars using (k) group by all) group by doc_id),
+        word_far as (select doc_id, min(d) as far from (select doc_id, ref, {_JSD} as d from words join fit_words using (ref, k) group by all) group by doc_id)
+        select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               not base_failed
+               and not coalesce(n_words >= {quality_rules.CHAR_GUARD} and c.far > {quality_rules.CHAR_LIMIT[0]} + {quality_rules.CHAR_LIMIT[1]} / sqrt(n_words), false)
+               and not coalesce(n_words >= {quality_rules.WORD_GUARD} and w.far > {quality_rules.WORD_LIMIT[0]} + {quality_rules.WORD_LIMIT[1]} / sqrt(n_words), false) as kept
+        from base left join char_far c using (doc_id) left join word_far w using (doc_id)""",
     "op1_licenses": f"""
         with template as (select license, {_NORMAL} as ws from (values {_VALUES}) v(license, text)),
         sized as (select license, ws, least(5, len(ws)) as width from template),
