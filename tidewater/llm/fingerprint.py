@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.shingles import shingle_hashes, words
+from tidewater.llm.shingles import shingle_hashes, with_words
 
 #: Bins, from a hash's upper 8 bits; low-order bits kept of each bin's least hash.
 BINS, BITS = 256, 4
@@ -38,7 +38,7 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     lanes = 64 // BITS
     packed = f"transform(sequence(0, {BINS // lanes - 1}), w -> aggregate(slice(_low, w * {lanes} + 1, {lanes}), 0L, (a, v) -> shiftleft(a, {BITS}) | v))"
     return (
-        df.select(*rest, words(F.col(text)).alias("_words"))
+        with_words(df, text, *rest)
         .select(*rest, F.sort_array(F.concat(shingle_hashes("_words"), F.expr(markers))).alias("_sorted"))
         .select(*rest, F.expr("filter(_sorted, (h, i) -> i = 0 OR shiftright(h, 56) != shiftright(_sorted[i - 1], 56))").alias("_full"))
         .select(*rest, "_full", F.expr(f"filter(_full, v -> NOT {empty('v')})").alias("_filled"))

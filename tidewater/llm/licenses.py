@@ -70,10 +70,11 @@ def _long(x: int) -> int:
 _POINTS = [_long((0x9E3779B97F4A7C15 * (2 * b + 1)) % (1 << 64)) for b in range(BANDS)]
 
 
-def normal_words(text: Column) -> Column:
-    """Lower-case words of letters and digits; punctuation separates words."""
+def with_words(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The columns `keep`, and the text's lower-case words of letters and digits as _words; punctuation separates words."""
     plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    words = F.when(F.col("_plain") == "", F.array().cast("array<string>")).otherwise(F.split("_plain", " "))
+    return df.select(*keep, plain.alias("_plain")).select(*keep, words.alias("_words"))
 
 
 def _minima(hashes: str, start: str) -> str:
@@ -96,7 +97,7 @@ def template_tables(spark: SparkSession, templates: dict[str, str]) -> tuple[Dat
     if any(not t.strip() for t in templates.values()) or sum(len(t.split()) for t in templates.values()) > MOST_WORDS:
         raise ValueError(f"templates must have words, and {MOST_WORDS} in all at most")
     rows = F.explode(F.array(*(F.struct(F.lit(k).alias("license"), F.lit(t).alias("text")) for k, t in sorted(templates.items()))))
-    base = spark.range(1).select(rows.alias("r")).select("r.license", normal_words(F.col("r.text")).alias("_words"))
+    base = with_words(spark.range(1).select(rows.alias("r")).select("r.license", "r.text"), "text", "license")
     hashed = base.select("license", F.least(F.lit(WORDS), F.size("_words")).alias("width"), shingle_hashes("_words").alias("_h")).where("width > 0")
     single = f"size(_h) < {WINDOW + STRIDE - 1}"
     keys = F.expr(f"CASE WHEN {single} THEN transform(_h, h -> xxhash64(-1, h)) ELSE {_keys('_h', 1)} END")
@@ -112,7 +113,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
     empty text matches nothing; repeated rows give one row for each template; rows without a doc_id give rows with none.
     """
     keys, shingles, widths = template_tables(docs.sparkSession, TEMPLATES if templates is None else templates)
-    frame = docs.select("doc_id", normal_words(F.col("text")).alias("_words"))
+    frame = with_words(docs, "text", "doc_id")
     names = {w: f"_h{w}" for w in widths}
 
     def runs(w: int) -> Column:

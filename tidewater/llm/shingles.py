@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.shared import SPACE
@@ -10,10 +10,10 @@ from tidewater.llm.shared import SPACE
 WORDS = 5
 
 
-def words(text: Column) -> Column:
-    """Words between ASCII white space; none for a null or blank text."""
-    trimmed = F.btrim(text, F.lit(SPACE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
+def with_words(df: DataFrame, text: str, *keep: str) -> DataFrame:
+    """The columns `keep`, and the text's words between ASCII white space as _words; none for a null or blank text."""
+    words = F.when(F.col("_trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("_trimmed", r"[\x20\x09-\x0D]+"))
+    return df.select(*keep, F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE)).alias("_trimmed")).select(*keep, words.alias("_words"))
 
 
 def shingle_hashes(column: str, n: int = WORDS) -> Column:
