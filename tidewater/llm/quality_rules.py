@@ -192,7 +192,7 @@ def judge(docs: DataFrame, char_limit: tuple[float, float] = CHAR_LIMIT, word_li
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents that judge() rejects. A row without a doc_id is judged by its text like any other."""
+    """`docs` without the documents that judge() rejects. A row without a doc_id is judged by its text; rows with one doc_id go together."""
     keyed = docs.withColumn("_row", F.coalesce(F.col("doc_id"), F.xxhash64("text")))
     rejected = judge(keyed.select(F.col("_row").alias("doc_id"), "text", "lang")).where(~F.col("kept")).select(F.col("doc_id").alias("_row")).distinct()
     return keyed.join(rejected.hint("merge"), "_row", "left_anti").select(*docs.columns)

@@ -136,6 +136,6 @@ def near_duplicates(docs: DataFrame, group: int = GROUP, levels: tuple[int, ...]
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents whose component has a smaller doc_id. Rows without a doc_id stay."""
+    """`docs` without the documents whose component has a smaller doc_id. Rows without one stay; rows with the same one go together."""
     losers = near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(losers.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
