@@ -67,3 +67,12 @@ def test_hot_buckets_lose_no_link(spark, group):
         joined = [g for g in groups if any(((f ^ x) % 2**64).bit_count() <= 3 for x in g)]
         groups = [g for g in groups if g not in joined] + [{f}.union(*joined)]
     assert sorted(map(sorted, got.values())) == sorted(sorted(g) for g in groups if len(g) > 1)
+
+
+def test_components_of_chains_and_stars(spark):
+    chain = [(i * 7 % 101, (i + 1) * 7 % 101) for i in range(100)]
+    star = [(1000, 2000 + i) for i in range(50)] + [(1000, 1000)]
+    edges = spark.createDataFrame([*chain, *star, *chain], "a long, b long")
+    got = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert got == {i: 0 for i in range(101)} | {n: 1000 for n in (1000, *range(2000, 2050))}
+    assert simhash.components(edges.limit(0)).count() == 0
