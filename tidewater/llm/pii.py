@@ -250,30 +250,43 @@ class Tagger:
         return viterbi.decode(self.scores[before, 0] + self.scores[ids, 1] + self.scores[after, 2], lengths, self.model["transitions"])
 
 
+def _fits(body: str, kind: int) -> bool:
+    """Whether what the model takes for data of a kind passes that kind's check by itself."""
+    digits = sum(c.isdigit() for c in body)
+    if kind == 3:
+        return 7 <= digits <= 15 and digits >= 0.6 * sum(c.isalnum() for c in body)
+    if kind == 4:
+        return len(body) >= 12 and digits > 0
+    return (0, len(body), kind) in base_spans(body)
+
+
 def added_spans(text: str, labels: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The model's spans that touch no base span: secrets, and phones with 7 to 15 digits; outer punctuation goes.
+    """The model's spans that touch no base span and pass their kind's check: runs of tokens of one label, or else each token.
 
-    Emails, addresses and cards have checks that the patterns make, so the model doesn't bring back what those dropped.
+    So a card right after a phone is found, though the patterns take both for one number and drop it, while nothing that
+    fails a check by itself comes back. Outer punctuation goes.
     """
-    found, run = [], None
+    runs: list[tuple[int, list[tuple[int, int]]]] = []
     for m, label in zip(_TOKEN.finditer(text), labels, strict=True):
         kind = int(label) - 1
-        if run and run[2] == kind and "\n" not in text[run[1] : m.start()]:
-            run = (run[0], m.end(), kind)
-        else:
-            if run:
-                found.append(run)
-            run = (m.start(), m.end(), kind) if kind >= 0 else None
-    if run:
-        found.append(run)
+        if kind >= 0:
+            a, b = m.span()
+            if runs and runs[-1][0] == kind and text[runs[-1][1][-1][1] : a] in (" ", ""):
+                runs[-1][1].append((a, b))
+            else:
+                runs.append((kind, [(a, b)]))
     out = []
-    for a, b, kind in found:
-        body = text[a:b].rstrip(".,;:!?")
-        b = a + len(body)
-        digits = sum(c.isdigit() for c in body)
-        fits = kind == 4 and len(body) >= 12 and digits > 0 or kind == 3 and 7 <= digits <= 15 and digits >= 0.6 * sum(c.isalnum() for c in body)
-        if fits and not any(a < y and x < b for x, y, _ in base):
-            out.append((a, b, kind))
+    for kind, places in runs:
+        whole = (places[0][0], places[-1][1])
+        for options in ([whole], places):
+            found = []
+            for a, b in options:
+                body = text[a:b].rstrip(".,;:!?")
+                if _fits(body, kind) and not any(a < y and x < a + len(body) for x, y, _ in base):
+                    found.append((a, a + len(body), kind))
+            if found:
+                out += found
+                break
     return out
 
 
