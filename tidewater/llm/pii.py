@@ -71,6 +71,8 @@ BUCKETS, STEPS, RATE, DECAY = 4096, 100, 0.1, 2e-3
 #: Words that name what follows them.
 CUES = ("password", "passwd", "pwd", "token", "secret", "key", "api", "tel", "phone", "fax", "call", "mail", "card", "version")
 _CUE = re.compile("|".join(CUES))
+# How well-known kinds of access keys begin; such a key may lack digits.
+KEYS = ("AKIA", "ASIA", "ghp_", "sk-")
 #: Tokens kept with their features in each task.
 KNOWN_TOKENS = 200_000
 
@@ -256,7 +258,7 @@ def _fits(body: str, kind: int) -> bool:
     if kind == 3:
         return 7 <= digits <= 15 and digits >= 0.6 * sum(c.isalnum() for c in body)
     if kind == 4:
-        return len(body) >= 12 and digits > 0
+        return len(body) >= 12 and (digits > 0 or body.startswith(KEYS))
     return (0, len(body), kind) in base_spans(body)
 
 
