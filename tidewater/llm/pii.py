@@ -69,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 #: Hashed features of a token, and steps and rates of the training.
 BUCKETS, STEPS, RATE, DECAY = 4096, 100, 0.1, 2e-3
 #: Words that name what follows them.
-CUES = ("password", "passwd", "pwd", "token", "secret", "key", "api", "tel", "phone", "fax", "call", "mail", "card", "version")
+CUES = ("password", "passwd", "pwd", "token", "secret", "key", "api", "tel", "phone", "fax", "call", "mail", "card", "version", "akia", "asia", "ghp_", "sk-")
 _CUE = re.compile("|".join(CUES))
 # How well-known kinds of access keys begin; such a key may lack digits.
 KEYS = ("AKIA", "ASIA", "ghp_", "sk-")
