@@ -69,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 #: Hashed features of a token, and steps and rates of the training.
 BUCKETS, STEPS, RATE, DECAY = 4096, 100, 0.1, 2e-3
 #: Words that name what follows them.
-CUES = ("password", "passwd", "pwd", "token", "secret", "key", "api", "tel", "phone", "fax", "call", "mail", "card", "version", "akia", "asia", "ghp_", "sk-")
+CUES = ("password", "passwd", "pwd", "token", "secret", "key", "api", "tel", "phone", "fax", "call", "mail", "card", "version", "akia")
 _CUE = re.compile("|".join(CUES))
 # How well-known kinds of access keys begin; such a key may lack digits.
 KEYS = ("AKIA", "ASIA", "ghp_", "sk-")
@@ -103,7 +103,7 @@ def features(token: str) -> list[int]:
     return [*found, *(crc32(f"c{cue}".encode()) % BUCKETS for cue in set(cues))] if cues else list(found)
 
 
-def labelled(seed: int = 7, rows: int = 250) -> list[tuple[list[str], list[str]]]:
+def labelled(seed: int = 7, rows: int = 400) -> list[tuple[list[str], list[str]]]:
     """The small labelled table: tokens and their labels, made by rule from invented words and data."""
     rng = random.Random(seed)
     letters = lambda n, of="abcdefghijklmnopqrstuvwxyzäéñ": "".join(rng.choice(of) for _ in range(n))
@@ -126,7 +126,7 @@ def labelled(seed: int = 7, rows: int = 250) -> list[tuple[list[str], list[str]]
         if kind == "phone":
             return rng.choice([["+1", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"+{digits(2)}", digits(3), digits(7)], [f"{digits(3)}-{digits(3)}-{digits(4)}"]])
         token = rng.choice(["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([18, 20, 32, 40, 64]))), letters(rng.randint(20, 40), mixed)])
-        return rng.choice([["AKIA" + letters(16, upper + "234567")], [f"password={token[:18]}"], ["token", "=", f'"{token}"'], [f'api_key="{token}"'], ["secret:", token], [f"sk-{token}"], [f"ghp_{letters(36, mixed)}"]])
+        return rng.choice([["AKIA" + letters(16, rng.choice([upper, upper + "234567"]))], [f"password={token[:18]}"], ["token", "=", f'"{token}"'], [f'api_key="{token}"'], ["secret:", token], [f"sk-{token}"], [f"ghp_{letters(36, mixed)}"]])
 
     plain = [["version", "3."], ["Version", "2.0."], ["CC", "BY-NC", "4.0."], ["in", str(rng.randint(1900, 2030))], ["page", digits(2)], ["key", "words"], ["a", "token", "of"], ["the", "secret", "is"], [digits(3) + "."], ["5", "=", "2"], ["http://www.example.com/a?b=1"], [f"{digits(2)}.{digits(2)}.20{digits(2)}"], ["x" * 40], ["COVID-19"], ["iPhone"], ["$" + digits(3)], [digits(1) + "," + digits(3)]]
     table = []
