@@ -17,11 +17,11 @@ SLICE_BYTES = 4_000_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='tidewater-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidewater-')}")
+        found = spark.sparkContext.getCheckpointDir()
     return found
 
 
