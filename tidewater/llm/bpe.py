@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
+from struct import pack
 
 import numpy as np
 import public_tokenizers
@@ -15,68 +17,63 @@ from pyspark.sql import DataFrame
 from tidewater.llm.shared import byte_slices
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
-#: Words, and pieces of words, kept with their ids in each task; longer ones than KNOWN_BYTES are not kept.
-KNOWN, KNOWN_BYTES = 300_000, 64
+#: Words, and pieces of words, kept with their ids in each worker, twice at most; longer ones than KNOWN_BYTES are not kept.
+KNOWN, KNOWN_BYTES = 250_000, 64
 
 _NONE = 1 << 62
 
 
-def merged(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """The symbols after all merges; `ranks` has the rank and the result of each pair.
+def merged(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
+    """The symbols after all merges; `ranks` has for each pair, as first << 20 | second, its rank << 32 and its result.
 
     Leaf i of the tree holds the rank of the pair that starts at symbol i, with i in its lower bits, so the root is the
-    leftmost pair of the lowest rank. A merge changes three leaves, each in as many steps as the tree has levels, so a
-    run of n symbols takes n log n steps however long it is.
+    leftmost pair of the lowest rank. A merge changes three leaves and what stands above them, level by level, so a run of
+    n symbols takes n log n steps however long it is.
     """
     n = len(symbols)
-    if n < 2:
-        return symbols
     width = 1 << (n - 1).bit_length()
     tree = [_NONE] * (2 * width)
+    get = ranks.get
     for i in range(n - 1):
-        found = ranks.get((symbols[i], symbols[i + 1]))
+        found = get(symbols[i] << 20 | symbols[i + 1])
         if found:
-            tree[width + i] = found[0] << 32 | i
+            tree[width + i] = found[0] | i
     for k in range(width - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
-    if tree[1] == _NONE:
-        return symbols
-    symbols = list(symbols)
+        x, y = tree[2 * k], tree[2 * k + 1]
+        tree[k] = x if x < y else y
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def put(i: int, value: int) -> None:
-        k = width + i
-        tree[k] = value
-        while k > 1:
-            a, b = tree[k], tree[k ^ 1]
-            least = a if a < b else b
-            k >>= 1
-            if tree[k] == least:
-                return
-            tree[k] = least
-
-    while (root := tree[1]) != _NONE:
+    while n > 1 and (root := tree[1]) != _NONE:
         i = root & 0xFFFFFFFF
         j = after[i]
-        symbols[i] = ranks[symbols[i], symbols[j]][1]
-        k = after[i] = after[j]
-        put(j, _NONE)
+        symbols[i] = symbol = ranks[symbols[i] << 20 | symbols[j]][1]
+        symbols[j] = -1
+        after[i] = k = after[j]
+        tree[width + j] = tree[width + i] = _NONE
         if k < n:
             before[k] = i
-            found = ranks.get((symbols[i], symbols[k]))
-            put(i, found[0] << 32 | i if found else _NONE)
-        else:
-            put(i, _NONE)
+            found = get(symbol << 20 | symbols[k])
+            if found:
+                tree[width + i] = found[0] | i
         h = before[i]
         if h >= 0:
-            found = ranks.get((symbols[h], symbols[i]))
-            put(h, found[0] << 32 | h if found else _NONE)
-    out, i = [], 0
-    while i < n:
-        out.append(symbols[i])
-        i = after[i]
-    return out
+            found = get(symbols[h] << 20 | symbol)
+            tree[width + h] = found[0] | h if found else _NONE
+        else:
+            h = i
+        at, left, right = width + i >> 1, width + h >> 1, width + j >> 1
+        while at:
+            x, y = tree[2 * at], tree[2 * at + 1]
+            tree[at] = x if x < y else y
+            if left != at:
+                x, y = tree[2 * left], tree[2 * left + 1]
+                tree[left] = x if x < y else y
+            left >>= 1
+            if right != at:
+                x, y = tree[2 * right], tree[2 * right + 1]
+                tree[right] = x if x < y else y
+            right >>= 1
+            at >>= 1
+    return [s for s in symbols if s >= 0]
 
 
 class Coder:
@@ -92,7 +89,7 @@ class Coder:
         vocabulary = data["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.tokens = {i: t for t, i in (vocabulary | self.special).items()}
-        self.ranks = {(vocabulary[a], vocabulary[b]): (r, vocabulary[a + b]) for r, (a, b) in enumerate(data["model"]["merges"])}
+        self.ranks = {vocabulary[a] << 20 | vocabulary[b]: (r << 32, vocabulary[a + b]) for r, (a, b) in enumerate(data["model"]["merges"])}
         shown = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves
         chars = [chr(b) if b in shown else None for b in range(256)]
         spare = iter(range(256, 512))
@@ -100,18 +97,25 @@ class Coder:
         self.inner, self.last = [vocabulary[c] for c in chars], [vocabulary[c + self.END] for c in chars]
         self.byte_of = {c: b for b, c in enumerate(chars)}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
+        # What is known, and what was before that got too much: whatever is asked for again moves on.
         self.pieces: dict[str, list[int]] = {}
+        self.old_pieces: dict[str, list[int]] = {}
         self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.old_words: dict[bytes, tuple[bytes, bytes]] = {}
 
     def _piece(self, piece: str) -> list[int]:
         found = self.pieces.get(piece)
         if found is None:
-            raw = piece.encode()
-            found = merged([*(self.inner[b] for b in raw[:-1]), self.last[raw[-1]]], self.ranks)
-            if len(raw) <= KNOWN_BYTES:
-                if len(self.pieces) >= KNOWN:
-                    self.pieces = {}
-                self.pieces[piece] = found
+            found = self.old_pieces.get(piece)
+            if found is None:
+                raw = piece.encode()
+                inner = self.inner
+                found = merged([*[inner[b] for b in raw[:-1]], self.last[raw[-1]]], self.ranks)
+                if len(raw) > KNOWN_BYTES:
+                    return found
+            if len(self.pieces) >= KNOWN:
+                self.pieces, self.old_pieces = {}, self.pieces
+            self.pieces[piece] = found
         return found
 
     def encode(self, text: str) -> list[int]:
@@ -144,21 +148,32 @@ class Coder:
 
     def word(self, word: bytes) -> tuple[bytes, bytes]:
         """Ids (little-endian 32-bit) and decoded text of a word between ASCII white space."""
-        ids = self.encode(word.decode("utf-8", "replace"))
-        found = (np.array(ids, "<i4").tobytes(), self.decode(ids).encode())
-        if len(word) <= KNOWN_BYTES:
-            if len(self.words) >= KNOWN:
-                self.words = {}
-            self.words[word] = found
+        found = self.old_words.get(word)
+        if found is None:
+            ids = self.encode(word.decode("utf-8", "replace"))
+            found = (pack(f"<{len(ids)}i", *ids), self.decode(ids).encode())
+            if len(word) > KNOWN_BYTES:
+                return found
+        if len(self.words) >= KNOWN:
+            self.words, self.old_words = {}, self.words
+        self.words[word] = found
         return found
 
     def both(self, text: bytes) -> tuple[bytes, bytes]:
         """Ids and decoded text of a whole text. No token crosses white space, so each word is looked up by itself."""
-        get = self.words.get
-        found = [get(w) or self.word(w) for w in text.split()]
+        words = text.split()
+        found = list(map(self.words.get, words))
+        if None in found:
+            found = [f or self.words.get(w) or self.word(w) for f, w in zip(found, words, strict=True)]
         return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])
 
 
+@cache
+def coder(path: str) -> Coder:
+    """One for each worker and vocabulary: what is known serves all tasks that the worker runs."""
+    return Coder(path)
+
+
 def encode_decode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids, decoded) for every row of `docs` (doc_id, text): the ids of the whole text, and what they decode to.
 
@@ -167,9 +182,9 @@ def encode_decode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
+        both = coder(path).both
         for batch, texts in byte_slices(batches):
-            found = [coder.both(t) for t in texts]
+            found = [both(t) for t in texts]
             ends = np.cumsum([0, *(len(ids) // 4 for ids, _ in found)])
             values = np.frombuffer(b"".join([ids for ids, _ in found]), "<i4")
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
