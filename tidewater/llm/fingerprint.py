@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.llm.shared import stored
 from tidewater.llm.shingles import shingle_hashes, with_words
 
 #: Bins, from a hash's upper 8 bits; low-order bits kept of each bin's least hash.
@@ -61,12 +64,13 @@ def as_text(packed: str) -> Column:
     return F.expr(f"array_join(transform({packed}, x -> lpad(lower(hex(x)), 16, '0')), '')")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """`docs` (doc_id, text, ...) with `next_<column>` of the row with the next doc_id; of the last, that of the first.
+def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """`derive` of `docs` (doc_id, text), with `next_<column>` of the row with the next doc_id; of the last, that of the first.
 
     Ids are cut to ranges of even counts and those to equal widths, so that some GROUP_ROWS rows stand together; one
-    shuffle brings a group together, and only the first rows of groups go through a second. A row without a doc_id takes
-    the place of a hash of its text; of rows with the same place the texts decide.
+    shuffle brings a group together. The first rows of groups are derived once more, for the last rows of those before:
+    one row in GROUP_ROWS. A row without a doc_id takes the place of a hash of its text; of rows with the same place the
+    texts decide.
     """
     place = docs.withColumn("_place", F.coalesce(F.col("doc_id"), F.xxhash64("text")))
     shares = [i / RANGES for i in range(RANGES + 1)]
@@ -79,18 +83,21 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     offset = (F.col("_place").cast("double") - F.element_at(listed(bounds), F.col("_range"))) / F.element_at(listed(widths), F.col("_range"))
     frame = frame.withColumn("_group", F.col("_range").cast("long") * fine + F.least(F.lit(fine - 1), F.floor(offset * fine)))
     order = Window.partitionBy("_group").orderBy("_place", "text")
-    rows = frame.withColumn("_rank", F.row_number().over(order)).withColumns({f"next_{c}": F.lead(c).over(order) for c in columns}).withColumn("_last", F.lead("_rank").over(order).isNull())
+    rows = derive(frame).withColumns({f"_next_{c}": F.lead(c).over(order) for c in columns}).withColumn("_last", F.lead("_place").over(order).isNull())
     # The group after each: within its range, or the first of the next range that has one.
-    groups = frame.groupBy("_range", "_group").agg(F.count("*").alias("n"))
+    groups = frame.groupBy("_range", "_group").agg(F.min("_place").alias("_place"))
+    groups = stored(groups, "groups")
     within = Window.partitionBy("_range").orderBy("_group")
     firsts = groups.groupBy("_range").agg(F.min("_group").alias("g"))
     over = Window.orderBy("_range")  # RANGES + 1 rows at most
     after = firsts.select("_range", F.coalesce(F.lead("g").over(over), F.first("g").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_range_next"))
     followed = groups.withColumn("_in_range", F.lead("_group").over(within)).join(after, "_range").select("_group", F.coalesce("_in_range", "_range_next").alias("_head"))
-    heads = rows.where("_rank = 1").select(F.col("_group").alias("_head"), *(F.col(c).alias(f"next_{c}") for c in columns))
-    out = [*docs.columns, *(f"next_{c}" for c in columns)]
-    ends = rows.where("_last").drop(*(f"next_{c}" for c in columns)).join(followed, "_group").join(heads, "_head")
-    return rows.where("NOT _last").select(*out).unionByName(ends.select(*out))
+    heads = frame.join(groups.select("_group", "_place"), ["_group", "_place"], "left_semi")
+    heads = heads.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    heads = derive(heads).select(F.col("_group").alias("_head"), *(F.col(c).alias(f"_head_{c}") for c in columns))
+    joined = rows.join(followed.join(heads, "_head"), "_group", "left")
+    kept = [c for c in rows.columns if not c.startswith("_")]
+    return joined.select(*kept, *(F.when(F.col("_last"), F.col(f"_head_{c}")).otherwise(F.col(f"_next_{c}")).alias(f"next_{c}") for c in columns))
 
 
 def compare_with_edit(docs: DataFrame) -> DataFrame:
@@ -99,8 +106,8 @@ def compare_with_edit(docs: DataFrame) -> DataFrame:
     The edited text has the last quarter of the code points replaced by as many of the next document's first (or all).
     A null text counts as empty; two texts without words are alike (1), and one without is unlike any other (0).
     """
-    marked = with_fingerprint(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "fp")
-    pairs = with_next(marked, ["text", "fp"]).withColumn("n_chars", F.char_length("text").cast("long"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pairs = with_next(texts, lambda df: with_fingerprint(df, "text", "fp"), ["text", "fp"]).withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, CAST(n_chars - n_chars DIV 4 AS int)), substring(next_text, 1, CAST(n_chars DIV 4 AS int)))")
     pairs = pairs.select("doc_id", "n_chars", "fp", edited.alias("edited"), "next_fp")
     both = with_fingerprint(pairs, "edited", "edited_fp")
