@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from struct import pack
 
@@ -27,14 +27,16 @@ def merged(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
     """The symbols after all merges; `ranks` has for each pair, as first << 20 | second, its rank << 32 and its result.
 
     Leaf i of the tree holds the rank of the pair that starts at symbol i, with i in its lower bits, so the root is the
-    leftmost pair of the lowest rank. A merge changes three leaves and what stands above them, level by level, so a run of
+    leftmost pair of the lowest rank. A merge updates three leaves, each upwards as far as anything changes, so a run of
     n symbols takes n log n steps however long it is.
     """
     n = len(symbols)
-    width = 1 << (n - 1).bit_length()
-    tree = [_NONE] * (2 * width)
+    width = n - 1  # leaves: one for each pair
+    if not width:
+        return symbols
     get = ranks.get
-    for i in range(n - 1):
+    tree = [_NONE] * (2 * width)
+    for i in range(width):
         found = get(symbols[i] << 20 | symbols[i + 1])
         if found:
             tree[width + i] = found[0] | i
@@ -42,37 +44,42 @@ def merged(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
         x, y = tree[2 * k], tree[2 * k + 1]
         tree[k] = x if x < y else y
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    while n > 1 and (root := tree[1]) != _NONE:
+    while (root := tree[1]) != _NONE:
         i = root & 0xFFFFFFFF
         j = after[i]
         symbols[i] = symbol = ranks[symbols[i] << 20 | symbols[j]][1]
         symbols[j] = -1
         after[i] = k = after[j]
-        tree[width + j] = tree[width + i] = _NONE
+        # The two pairs beside change first; what stands above them and is the root's is renewed with the root.
+        new = None
         if k < n:
             before[k] = i
-            found = get(symbol << 20 | symbols[k])
-            if found:
-                tree[width + i] = found[0] | i
+            new = get(symbol << 20 | symbols[k])
+            at = width + j
+            old, tree[at] = tree[at], _NONE
+            while tree[at >> 1] == old:
+                at >>= 1
+                x, y = tree[2 * at], tree[2 * at + 1]
+                tree[at] = x if x < y else y
         h = before[i]
         if h >= 0:
             found = get(symbols[h] << 20 | symbol)
-            tree[width + h] = found[0] | h if found else _NONE
-        else:
-            h = i
-        at, left, right = width + i >> 1, width + h >> 1, width + j >> 1
-        while at:
+            value = found[0] | h if found else _NONE
+            at = width + h
+            old, tree[at] = tree[at], value
+            if value < old:
+                while value < tree[at := at >> 1]:
+                    tree[at] = value
+            elif value > old:
+                while tree[at >> 1] == old:
+                    at >>= 1
+                    x, y = tree[2 * at], tree[2 * at + 1]
+                    tree[at] = x if x < y else y
+        at = width + i
+        tree[at] = new[0] | i if new else _NONE
+        while at := at >> 1:
             x, y = tree[2 * at], tree[2 * at + 1]
             tree[at] = x if x < y else y
-            if left != at:
-                x, y = tree[2 * left], tree[2 * left + 1]
-                tree[left] = x if x < y else y
-            left >>= 1
-            if right != at:
-                x, y = tree[2 * right], tree[2 * right + 1]
-                tree[right] = x if x < y else y
-            right >>= 1
-            at >>= 1
     return [s for s in symbols if s >= 0]
 
 
@@ -100,7 +107,7 @@ class Coder:
         # What is known, and what was before that got too much: whatever is asked for again moves on.
         self.pieces: dict[str, list[int]] = {}
         self.old_pieces: dict[str, list[int]] = {}
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.words = Known(self.word)
         self.old_words: dict[bytes, tuple[bytes, bytes]] = {}
 
     def _piece(self, piece: str) -> list[int]:
@@ -148,26 +155,34 @@ class Coder:
 
     def word(self, word: bytes) -> tuple[bytes, bytes]:
         """Ids (little-endian 32-bit) and decoded text of a word between ASCII white space."""
-        found = self.old_words.get(word)
+        found = self.old_words.get(word) or self.words.get(word)
         if found is None:
-            ids = self.encode(word.decode("utf-8", "replace"))
+            ids = self._piece(word.decode().lower()) if word.isalpha() else self.encode(word.decode("utf-8", "replace"))  # ASCII letters are one piece
             found = (pack(f"<{len(ids)}i", *ids), self.decode(ids).encode())
             if len(word) > KNOWN_BYTES:
                 return found
         if len(self.words) >= KNOWN:
-            self.words, self.old_words = {}, self.words
+            self.words, self.old_words = Known(self.word), self.words
         self.words[word] = found
         return found
 
     def both(self, text: bytes) -> tuple[bytes, bytes]:
         """Ids and decoded text of a whole text. No token crosses white space, so each word is looked up by itself."""
-        words = text.split()
-        found = list(map(self.words.get, words))
-        if None in found:
-            found = [f or self.words.get(w) or self.word(w) for f, w in zip(found, words, strict=True)]
+        found = list(map(self.words.__getitem__, text.split()))
         return b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[1]])
 
 
+class Known(dict):
+    """Words with what Coder.word() gives for them, found when first asked for."""
+
+    def __init__(self, word: Callable[[bytes], tuple[bytes, bytes]]):
+        super().__init__()
+        self.word = word
+
+    def __missing__(self, word: bytes) -> tuple[bytes, bytes]:
+        return self.word(word)
+
+
 @cache
 def coder(path: str) -> Coder:
     """One for each worker and vocabulary: what is known serves all tasks that the worker runs."""
