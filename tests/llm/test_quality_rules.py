@@ -88,3 +88,12 @@ def test_edges(spark):
     left = rules.drop_rejected(docs)
     assert left.columns == docs.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 6]
     assert rules.judge(docs.limit(0)).count() == 0
+
+
+def test_each_row_is_judged_by_itself(spark):
+    good = " ".join(f"w{i}" for i in range(12))
+    rows = [(None, None, 1), (42, good, 2), (7, good, 3), (7, "short", 4), (None, good, 5), (None, "short", 6), (9, good, 7), (9, good, 8)]
+    docs = spark.createDataFrame([(d, t, None, n, n) for d, t, n in rows], "doc_id long, text string, lang string, _row int, n int")
+    left = rules.drop_rejected(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.n, r._row, r.doc_id, r.text) for r in left.collect()) == [(n, n, d, t) for d, t, n in rows if t == good]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import map_texts, stored
+from tidewater.llm.shared import byte_slices, map_texts, stored
 
 # Common words of each language that has a reference.
 COMMON = {
@@ -105,8 +105,7 @@ def profile(texts: list[bytes]) -> dict[str, list]:
     return {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
 
-def _read(column: pa.Array) -> np.ndarray:
-    data = column.to_pylist()
+def _read(data: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(data), "<i8").reshape(len(data), -1).astype(float) if data else np.zeros((0, 1))
 
 
@@ -140,7 +139,7 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
-        chars, by_lang = shares(_read(batch.column("chars")), _read(batch.column("common")))
+        chars, by_lang = shares(_read(batch.column("chars").to_pylist()), _read(batch.column("common").to_pylist()))
         for lang in _VOCABULARY:
             if (own := langs == lang).any():
                 sums[lang] = sums.get(lang, 0) + np.concatenate([[own.sum()], chars[own].sum(axis=0), by_lang[lang][own].sum(axis=0)])
@@ -165,6 +164,21 @@ def references(profiles: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _verdicts(made: dict[str, list], known: dict[str, tuple[np.ndarray, np.ndarray]], char_limit: tuple[float, float], word_limit: tuple[float, float]) -> dict[str, pa.Array]:
+    """Distances and verdicts of the texts with the profiles `made`."""
+    words, repeated = np.array(made["n_words"], np.int64), np.array(made["n_repeat_words"], np.int64)
+    chars, by_lang = shares(_read(made["chars"]), _read(made["common"]))
+    char_far = np.min([distance(chars, c) for c, _ in known.values()], axis=0) if known else np.zeros(len(words))
+    word_far = np.min([distance(by_lang[lang], w) for lang, (_, w) in known.items()], axis=0) if known else np.zeros(len(words))
+    failed = (words < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * words)
+    kept, out = ~failed, {}
+    for name, far, guard, limit in (("char_distance", char_far, CHAR_GUARD, char_limit), ("word_distance", word_far, WORD_GUARD, word_limit)):
+        judged = (words >= guard) & bool(known)
+        kept &= ~judged | (far <= limit[0] + limit[1] / np.sqrt(np.maximum(words, 1)))
+        out[name] = pa.array(far, mask=~judged)
+    return out | {"base_failed": pa.array(failed), "kept": pa.array(kept)}
+
+
 def judge(docs: DataFrame, char_limit: tuple[float, float] = CHAR_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT) -> DataFrame:
     """(doc_id, base counts, char_distance, word_distance, base_failed, kept) for every row of `docs` (doc_id, text, lang).
 
@@ -173,26 +187,27 @@ def judge(docs: DataFrame, char_limit: tuple[float, float] = CHAR_LIMIT, word_li
     """
     profiles = stored(map_texts(docs, profile, f"{BASE}, chars binary, common binary", ("doc_id", "lang")), "profiles")
     known = references(profiles)
+    given = [n.split()[0] for n in BASE.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            chars, by_lang = shares(_read(batch.column("chars")), _read(batch.column("common")))
-            words = batch.column("n_words").to_numpy()
-            char_far = np.min([distance(chars, c) for c, _ in known.values()], axis=0) if known else np.zeros(len(words))
-            word_far = np.min([distance(by_lang[lang], w) for lang, (_, w) in known.items()], axis=0) if known else np.zeros(len(words))
-            given = [n.split()[0] for n in BASE.split(", ")]
-            arrays = [pa.array(far, mask=(words < least) | (not known)) for far, least in ((char_far, CHAR_GUARD), (word_far, WORD_GUARD))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(n) for n in given), *arrays], names=["doc_id", *given, "char_distance", "word_distance"])
+            made = {n: batch.column(n).to_pylist() for n in (*given, "chars", "common")}
+            found = _verdicts(made, known, char_limit, word_limit)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(n) for n in given), *found.values()], names=["doc_id", *given, *found])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    far = profiles.mapInArrow(each, f"doc_id {id_type}, {BASE}, char_distance double, word_distance double")
-    within = lambda name, limit: F.coalesce(F.col(name) <= limit[0] + limit[1] / F.sqrt("n_words"), F.lit(True))
-    ordinary = within("char_distance", char_limit) & within("word_distance", word_limit)
-    return far.withColumn("base_failed", _base_failed()).withColumn("kept", ~F.col("base_failed") & ordinary)
+    return profiles.mapInArrow(each, f"doc_id {id_type}, {BASE}, char_distance double, word_distance double, base_failed boolean, kept boolean")
 
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents that judge() rejects. A row without a doc_id is judged by its text; rows with one doc_id go together."""
-    keyed = docs.withColumn("_row", F.coalesce(F.col("doc_id"), F.xxhash64("text")))
-    rejected = judge(keyed.select(F.col("_row").alias("doc_id"), "text", "lang")).where(~F.col("kept")).select(F.col("doc_id").alias("_row")).distinct()
-    return keyed.join(rejected.hint("merge"), "_row", "left_anti").select(*docs.columns)
+    """`docs` without the rows that judge() rejects. Each row is judged by itself, whatever its doc_id and the rows beside it.
+
+    Texts are read twice, for the references and for the verdicts; no text is shuffled or stored.
+    """
+    known = references(map_texts(docs, profile, f"{BASE}, chars binary, common binary", ("lang",)))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in byte_slices(batches):
+            yield batch.filter(_verdicts(profile(texts), known, CHAR_LIMIT, WORD_LIMIT)["kept"])
+
+    return docs.mapInArrow(each, docs.schema)
