@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 
@@ -97,3 +98,18 @@ def test_each_row_is_judged_by_itself(spark):
     left = rules.drop_rejected(docs)
     assert left.columns == docs.columns
     assert sorted((r.n, r._row, r.doc_id, r.text) for r in left.collect()) == [(n, n, d, t) for d, t, n in rows if t == good]
+
+
+def test_other_languages(spark):
+    rng = random.Random(3)
+    common = "il di che non per una sono con del della anche come più nel alla questo gli dei ma lo".split()
+    pool = common * 6 + ["".join(rng.choice("abcdeilmnoprstuvz") for _ in range(7)) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(pool) for _ in range(n))
+    junk = lambda: " ".join("".join(rng.choice("bcdfgklmnprst") for _ in range(6)) for _ in range(400))
+    english = [" ".join(rng.choice([*rules.COMMON["en"].split(), *pool[-200:]]) for _ in range(200)) for _ in range(60)]
+    rows = [("it", prose(400)) for _ in range(80)] + [("it", junk()), ("xx", prose(400)), (None, prose(400)), ("xx", "short")] + [("en", t) for t in english]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in rules.judge(docs).collect()}
+    assert [i for i, r in got.items() if not r.kept] == [80, 83]
+    assert got[0].word_distance is not None and got[81].word_distance is None and got[82].word_distance is None
+    assert {r.doc_id for r in rules.drop_rejected(docs).collect()} == set(got) - {80, 83}

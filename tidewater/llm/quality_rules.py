@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.shared import byte_slices, map_texts, stored
 
-# Common words of each language that has a reference.
+# Common words of four languages; those of every other language are learned from its texts.
 COMMON = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach",
     "en": "the of and to a in is that it for was on with as be at by this are from or an have not which but they his had were",
@@ -33,13 +35,27 @@ CHAR_LIMIT, CHAR_GUARD = (0.20, 1.2), 20
 WORD_LIMIT, WORD_GUARD = (0.12, 2.0), 60
 #: Words that a text needs to be counted in its language's reference.
 REFERENCE_WORDS = 40
+#: A language beyond COMMON: its common words that are learned, and the texts that its reference needs at least.
+LEARNED_WORDS, REFERENCE_TEXTS = 30, 50
+#: Words counted in a task before they are passed on, and numbers of word histograms that a task handles at once.
+COUNTED_WORDS, HELD_NUMBERS = 300_000, 2_000_000
 
-_VOCABULARY = {lang: words.split() for lang, words in COMMON.items()}
-_WORD_AT = {w.encode(): i for i, w in enumerate(sorted({w for words in _VOCABULARY.values() for w in words}))}
 _PUNCTUATION = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
+class Vocabulary(NamedTuple):
+    """Where each common word of any language is counted, and for each language the places of its own."""
+
+    at: dict[bytes, int]
+    places: dict[str, list[int]]
+
+    @classmethod
+    def of(cls, words: dict[str, list[bytes]]) -> Vocabulary:
+        at = {w: i for i, w in enumerate(sorted({w for own in words.values() for w in own}))}
+        return cls(at, {lang: [at[w] for w in own] for lang, own in words.items()})
+
+
 @cache
 def _class_table() -> np.ndarray:
     """The class of each code point."""
@@ -90,35 +106,49 @@ def duplicate_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def profile(texts: list[bytes]) -> dict[str, list]:
-    """Base counts and histograms of each text."""
-    table, rows = _class_table(), []
+def plain_words(text: bytes) -> list[bytes]:
+    """The words that histograms are of: A-Z lower-cased, without ASCII punctuation."""
+    return text.lower().translate(_PUNCTUATION).split()
+
+
+def profile(texts: list[bytes], vocabulary: Vocabulary) -> dict[str, list]:
+    """Base counts and histograms of each text; that of common words as pairs of a place and its count, all other words last."""
+    table, at, rows = _class_table(), vocabulary.at, []
     for text in texts:
         words = text.split()
         points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         chars = np.bincount(table[points], minlength=len(CLASSES))
-        plain = text.lower().translate(_PUNCTUATION).split()
-        common = np.bincount(np.fromiter((_WORD_AT.get(w, len(_WORD_AT)) for w in plain), np.int64, len(plain)), minlength=len(_WORD_AT) + 1)
+        plain = plain_words(text)
+        places, counts = np.unique(np.fromiter((at.get(w, len(at)) for w in plain), np.int64, len(plain)), return_counts=True)
+        common = np.stack([places, counts], axis=1)
         space = CLASSES.index("space")
         rows.append((len(words), int(len(points) - chars[space]), int(chars[CLASSES.index("symbol")]), duplicate_lines(text), repeated_words(words), chars.astype("<i8").tobytes(), common.astype("<i8").tobytes()))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "chars", "common")
     return {n: [r[i] for r in rows] for i, n in enumerate(names)}
 
 
-def _read(data: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(data), "<i8").reshape(len(data), -1).astype(float) if data else np.zeros((0, 1))
+def char_shares(chars: list[bytes]) -> np.ndarray:
+    """Character shares without space."""
+    counts = np.frombuffer(b"".join(chars), "<i8").reshape(-1, len(CLASSES))[:, [i for i, c in enumerate(CLASSES) if c != "space"]].astype(float)
+    return counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+
 
+def word_counts(common: list[bytes], vocabulary: Vocabulary) -> Iterator[tuple[slice, np.ndarray]]:
+    """Counts of all common words, with those of all others last, for some of the texts at a time."""
+    width = len(vocabulary.at) + 1
+    step = max(1, HELD_NUMBERS // width)
+    for a in range(0, len(common), step):
+        part = common[a : a + step]
+        pairs = np.frombuffer(b"".join(part), "<i8").reshape(-1, 2)
+        counts = np.zeros((len(part), width))
+        counts[np.repeat(np.arange(len(part)), [len(c) // 16 for c in part]), pairs[:, 0]] = pairs[:, 1]
+        yield slice(a, a + len(part)), counts
 
-def shares(chars: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """Character shares without space, and for each language the shares of its common words with those of all others last."""
-    keep = [i for i, c in enumerate(CLASSES) if c != "space"]
-    out = chars[:, keep] / np.maximum(chars[:, keep].sum(axis=1, keepdims=True), 1)
-    total = common.sum(axis=1, keepdims=True)
-    by_lang = {}
-    for lang, words in _VOCABULARY.items():
-        own = common[:, [_WORD_AT[w.encode()] for w in words]]
-        by_lang[lang] = np.hstack([own, total - own.sum(axis=1, keepdims=True)]) / np.maximum(total, 1)
-    return out, by_lang
+
+def word_shares(counts: np.ndarray, places: list[int]) -> np.ndarray:
+    """Shares of a language's common words with those of all others last."""
+    own, total = counts[:, places], counts.sum(axis=1, keepdims=True)
+    return np.hstack([own, total - own.sum(axis=1, keepdims=True)]) / np.maximum(total, 1)
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -134,46 +164,89 @@ def _base_failed():
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the shares, in millionths, of each word in the texts of each language that count for a reference."""
+
+    def made() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.binary()), pa.array(sums.values(), pa.int64())], names=["lang", "word", "n"])
+
+    sums: Counter[tuple[str, bytes]] = Counter()
+    for batch, texts in byte_slices(batches):
+        for lang, text in zip(batch.column("lang").to_pylist(), texts, strict=True):
+            words = text.split()
+            if len(words) < max(LEAST_WORDS, REFERENCE_WORDS) or 100 * repeated_words(words) > MOST_REPEATED * len(words):
+                continue
+            plain = plain_words(text)
+            for word, n in Counter(plain).items():
+                sums[lang, word] += 1_000_000 * n // len(plain)
+            if len(sums) > COUNTED_WORDS:
+                yield made()
+                sums.clear()
+    yield made()
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """The common words of every language in `docs` (text, lang): COMMON's, and LEARNED_WORDS of any other with REFERENCE_TEXTS texts or more.
+
+    Those are the words with the greatest mean shares over all of the language's texts that count for its reference. Words
+    are summed by Spark, and LEARNED_WORDS of each language come to the driver. Only texts of languages beyond COMMON are read.
+    """
+    words = {lang: own.encode().split() for lang, own in COMMON.items()}
+    other = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.col("lang").isin(*COMMON))
+    langs = [r["lang"] for r in other.groupBy("lang").count().where(F.col("count") >= REFERENCE_TEXTS).collect()]
+    if langs:
+        sums = other.where(F.col("lang").isin(langs)).select("text", "lang").mapInArrow(_word_sums, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+        for r in sums.withColumn("rank", rank).where(F.col("rank") <= LEARNED_WORDS).collect():
+            words.setdefault(r.lang, []).append(bytes(r.word))
+    return Vocabulary.of(words)
+
+
+def _sums(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     """Sums of the shares of the texts in each language; each text counts alike, however long."""
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         langs = np.array(batch.column("lang").to_pylist(), object)
-        chars, by_lang = shares(_read(batch.column("chars").to_pylist()), _read(batch.column("common").to_pylist()))
-        for lang in _VOCABULARY:
-            if (own := langs == lang).any():
-                sums[lang] = sums.get(lang, 0) + np.concatenate([[own.sum()], chars[own].sum(axis=0), by_lang[lang][own].sum(axis=0)])
+        chars = char_shares(batch.column("chars").to_pylist())
+        for part, counts in word_counts(batch.column("common").to_pylist(), vocabulary):
+            for lang in set(langs[part]):
+                own = langs[part] == lang
+                sums[lang] = sums.get(lang, 0) + np.concatenate([[own.sum()], chars[part][own].sum(axis=0), word_shares(counts[own], vocabulary.places[lang]).sum(axis=0)])
     for lang, values in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values)), pa.array(range(len(values)), pa.int32()), pa.array(values)], names=["lang", "i", "v"])
 
 
-def references(profiles: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean character and common-word shares of each language of COMMON, over all texts that pass the base rule.
+def references(profiles: DataFrame, vocabulary: Vocabulary) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Mean character and common-word shares of each language of the vocabulary, over all texts that pass the base rule.
 
-    Four languages with some forty numbers each come to the driver, however large the corpus. A language without such
-    texts has no reference.
+    Some forty numbers of each language come to the driver, however large the corpus. A language without such texts has
+    no reference, nor has one beyond COMMON with less than REFERENCE_TEXTS of them.
     """
-    fit = profiles.where(~_base_failed() & (F.col("n_words") >= REFERENCE_WORDS) & F.col("lang").isin(*COMMON))
+    fit = profiles.where(~_base_failed() & (F.col("n_words") >= REFERENCE_WORDS) & F.col("lang").isin(*vocabulary.places))
     sums: dict[str, dict[int, float]] = {}
-    for r in fit.select("lang", "chars", "common").mapInArrow(_sums, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect():
+    for r in fit.select("lang", "chars", "common").mapInArrow(partial(_sums, vocabulary=vocabulary), "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v")).collect():
         sums.setdefault(r.lang, {})[r.i] = r.v
     out = {}
     for lang, at in sorted(sums.items()):
-        values = np.array([at[i] for i in range(len(at))]) / at[0]
-        out[lang] = (values[1 : len(CLASSES)], values[len(CLASSES) :])
+        if lang in COMMON or at[0] >= REFERENCE_TEXTS:
+            values = np.array([at[i] for i in range(len(at))]) / at[0]
+            out[lang] = (values[1 : len(CLASSES)], values[len(CLASSES) :])
     return out
 
 
-def _verdicts(made: dict[str, list], known: dict[str, tuple[np.ndarray, np.ndarray]], char_limit: tuple[float, float], word_limit: tuple[float, float]) -> dict[str, pa.Array]:
+def _verdicts(made: dict[str, list], langs: list, vocabulary: Vocabulary, known: dict[str, tuple[np.ndarray, np.ndarray]], char_limit: tuple[float, float], word_limit: tuple[float, float]) -> dict[str, pa.Array]:
     """Distances and verdicts of the texts with the profiles `made`."""
     words, repeated = np.array(made["n_words"], np.int64), np.array(made["n_repeat_words"], np.int64)
-    chars, by_lang = shares(_read(made["chars"]), _read(made["common"]))
+    chars = char_shares(made["chars"])
     char_far = np.min([distance(chars, c) for c, _ in known.values()], axis=0) if known else np.zeros(len(words))
-    word_far = np.min([distance(by_lang[lang], w) for lang, (_, w) in known.items()], axis=0) if known else np.zeros(len(words))
+    word_far = np.zeros(len(words))
+    for part, counts in word_counts(made["common"], vocabulary) if known else ():
+        word_far[part] = np.min([distance(word_shares(counts, vocabulary.places[lang]), w) for lang, (_, w) in known.items()], axis=0)
     failed = (words < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * words)
+    has_own = np.array([lang in known for lang in langs], bool)
     kept, out = ~failed, {}
     for name, far, guard, limit in (("char_distance", char_far, CHAR_GUARD, char_limit), ("word_distance", word_far, WORD_GUARD, word_limit)):
-        judged = (words >= guard) & bool(known)
+        judged = (words >= guard) & has_own
         kept &= ~judged | (far <= limit[0] + limit[1] / np.sqrt(np.maximum(words, 1)))
         out[name] = pa.array(far, mask=~judged)
     return out | {"base_failed": pa.array(failed), "kept": pa.array(kept)}
@@ -182,17 +255,20 @@ def _verdicts(made: dict[str, list], known: dict[str, tuple[np.ndarray, np.ndarr
 def judge(docs: DataFrame, char_limit: tuple[float, float] = CHAR_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT) -> DataFrame:
     """(doc_id, base counts, char_distance, word_distance, base_failed, kept) for every row of `docs` (doc_id, text, lang).
 
-    A text's distance is the least to any reference; without references, or below the guards, it isn't judged by it and
-    the distance is null. A null text has no words, so it fails the base rule.
+    A text's distance is the least to any language's reference. A row whose own `lang` has no reference (null, or too few
+    texts to learn one) is left unjudged by it, as is one below the guards: its distance is null and only the base rule
+    holds. A null text has no words, so it fails the base rule. The registered SQL knows the languages of COMMON alone, and
+    judges rows of any `lang` by those.
     """
-    profiles = stored(map_texts(docs, profile, f"{BASE}, chars binary, common binary", ("doc_id", "lang")), "profiles")
-    known = references(profiles)
+    known_words = vocabulary(docs)
+    profiles = stored(map_texts(docs, partial(profile, vocabulary=known_words), f"{BASE}, chars binary, common binary", ("doc_id", "lang")), "profiles")
+    known = references(profiles, known_words)
     given = [n.split()[0] for n in BASE.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = {n: batch.column(n).to_pylist() for n in (*given, "chars", "common")}
-            found = _verdicts(made, known, char_limit, word_limit)
+            found = _verdicts(made, batch.column("lang").to_pylist(), known_words, known, char_limit, word_limit)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(n) for n in given), *found.values()], names=["doc_id", *given, *found])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -204,10 +280,12 @@ def drop_rejected(docs: DataFrame) -> DataFrame:
 
     Texts are read twice, for the references and for the verdicts; no text is shuffled or stored.
     """
-    known = references(map_texts(docs, profile, f"{BASE}, chars binary, common binary", ("lang",)))
+    known_words = vocabulary(docs)
+    known = references(map_texts(docs, partial(profile, vocabulary=known_words), f"{BASE}, chars binary, common binary", ("lang",)), known_words)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_slices(batches):
-            yield batch.filter(_verdicts(profile(texts), known, CHAR_LIMIT, WORD_LIMIT)["kept"])
+            found = _verdicts(profile(texts, known_words), batch.column("lang").to_pylist(), known_words, known, CHAR_LIMIT, WORD_LIMIT)
+            yield batch.filter(found["kept"])
 
     return docs.mapInArrow(each, docs.schema)
