@@ -1,6 +1,8 @@
 import itertools
+import random
 
 import numpy as np
+import pytest
 
 from tidewater.llm import langid, queries, viterbi
 
@@ -56,3 +58,27 @@ def test_word_features_depend_on_the_word_alone():
         cut = np.split(buckets, np.cumsum(runs)[:-1])
         for w, own in zip(words, cut, strict=True):
             assert sorted(own) == sorted(langid.word_features([w])[0])
+
+
+def test_rare_languages_are_learned(spark):
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(70 * 20)]
+    text = lambda k: " ".join(rng.choice(words[20 * k : 20 * k + 20]) for _ in range(60))
+    rows = [(f"l{k:02}", text(k)) for k in range(70) for _ in range(3 - (k == 69))]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.langs) == 70
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert got == {i: lang for i, (lang, _) in enumerate(rows)}
+    assert langid.fit(docs, languages=70).langs == model.langs
+    with pytest.raises(ValueError, match="more than 69 values of lang"):
+        langid.fit(docs, languages=69)
+
+
+def test_bounds_on_what_is_held_change_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = langid.Model(["a", "b", "c"], rng.integers(0, 50, (3, langid.BUCKETS)).astype(float), np.full((3, len(langid.SCRIPTS)), 9.0))
+    texts = ["", *("".join(rng.choice(list("abcdefg  ß"), 300)) for _ in range(40)), "x"]
+    want = langid.Identifier(model).predict(texts)
+    monkeypatch.setattr(langid, "HELD_NUMBERS", 300)
+    assert langid.Identifier(model).predict(texts) == want

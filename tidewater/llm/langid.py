@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from tidewater.llm.shared import byte_slices
 
 #: Hashed buckets of character runs of 1 to 4 letters, and of whole words.
 BUCKETS = 1 << 15
-#: Texts of each language that the model is fitted on, about, and most languages it learns (those with most texts).
-SAMPLE, LANGUAGES = 3000, 64
+#: Texts of each language that the model is fitted on, about, and most languages that it can hold.
+SAMPLE, LANGUAGES = 3000, 256
 #: What a change of language costs, and bounds on a word's score (natural logarithms), so that one odd word costs no more than a change.
 SWITCH, MOST = 6.0, 4.0
 #: Added to the share of letters of the language that a text opens in: what tips the balance where two are nearly even.
@@ -27,6 +28,8 @@ OPENING = 0.25
 SCRIPT_SHARE = 0.01
 #: Words kept with their scores in each task.
 KNOWN_WORDS = 300_000
+#: Scores of words that a task holds at once, about; with many languages it so keeps fewer words and takes less text at a time.
+HELD_NUMBERS = 16_000_000
 
 # First code points of ranges and their scripts.
 SCRIPTS = ("none", "latin", "greek", "cyrillic", "armenian", "hebrew", "arabic", "indic", "thai", "georgian", "hangul", "kana", "han", "other")
@@ -71,13 +74,13 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buckets[order], np.bincount(owners, minlength=len(words))
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of buckets and scripts for each language, over all texts of a task."""
+def _counts(batches: Iterator[pa.RecordBatch], at: dict[str, int]) -> Iterator[pa.RecordBatch]:
+    """Counts of buckets and scripts for each language, by its place, over all texts of a task."""
     sums: dict[str, np.ndarray] = {}
     for batch, texts in byte_slices(batches):
         langs = batch.column("lang").to_pylist()
         for lang in set(langs):
-            text = " ".join(t.decode("utf-8", "replace").lower() for t, at in zip(texts, langs, strict=True) if at == lang)
+            text = " ".join(t.decode("utf-8", "replace").lower() for t, own in zip(texts, langs, strict=True) if own == lang)
             words = _WORD.findall(text)
             if words:
                 kinds = Counter(words)
@@ -87,7 +90,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sums[lang] = sums.get(lang, 0) + np.concatenate([hits, seen])
     for lang, values in sums.items():
         full = np.flatnonzero(values)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(full), pa.string()), pa.array(full, pa.int64()), pa.array(values[full], pa.float64())], names=["lang", "i", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), at[lang]), pa.int32()), pa.array(full, pa.int64()), pa.array(values[full], pa.float64())], names=["lang", "i", "n"])
 
 
 class Model:
@@ -108,9 +111,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Mo
 
     The texts are those whose hash is lowest, so each is taken or not by itself: no sort and no shuffle of texts, and a
     language with a third of all rows is no more work than another. Counts of buckets are summed by Spark; at most
-    `languages` times BUCKETS numbers reach the driver.
+    `languages` times BUCKETS numbers reach the driver. Every value of `lang` is learned, however rare; with more than
+    `languages` of them no model is made and a ValueError says so.
     """
-    sizes = docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    sizes = docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().limit(languages + 1).collect()
+    if len(sizes) > languages:
+        raise ValueError(f"more than {languages} values of lang: a model holds no more, and none is left out")
     langs = sorted(r["lang"] for r in sizes)
     if not langs:
         return Model([], np.zeros((0, BUCKETS)), np.zeros((0, len(SCRIPTS))))
@@ -118,8 +124,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Mo
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003
     taken = docs.where(F.col("lang").isin(langs) & F.col("text").isNotNull()).where(draw < F.element_at(share, F.col("lang")))
     sums = np.zeros((len(langs), BUCKETS + len(SCRIPTS)))
-    for r in taken.select("text", "lang").mapInArrow(_counts, "lang string, i long, n double").groupBy("lang", "i").agg(F.sum("n").alias("n")).collect():
-        sums[langs.index(r.lang), r.i] = r.n
+    counted = taken.select("text", "lang").mapInArrow(partial(_counts, at={lang: k for k, lang in enumerate(langs)}), "lang int, i long, n double")
+    found = counted.groupBy("lang", "i").agg(F.sum("n").alias("n")).toArrow()
+    sums[found["lang"].to_numpy(), found["i"].to_numpy()] = found["n"].to_numpy()
     return Model(langs, sums[:, :BUCKETS], sums[:, BUCKETS:])
 
 
@@ -128,6 +135,8 @@ class Identifier:
 
     def __init__(self, model: Model):
         self.model = model
+        held = HELD_NUMBERS // max(1, len(model.langs))
+        self.most_known, self.most_chars, self.most_scored = min(KNOWN_WORDS, held), 4 * held, max(1, min(20_000, held // 32))
         self._reset()
 
     def _reset(self) -> None:
@@ -149,7 +158,7 @@ class Identifier:
         return np.where(allowed | ~allowed.any(axis=1, keepdims=True), scores, -3 * MOST).astype(np.float32)
 
     def _ids(self, words: list[str]) -> np.ndarray:
-        if len(self.at) > KNOWN_WORDS:
+        if len(self.at) > self.most_known:
             self._reset()
         get = self.at.get
         ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
@@ -158,8 +167,8 @@ class Identifier:
             first = len(self.at)
             while len(self.rows) < first + len(missing):
                 self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            for a in range(0, len(missing), 20_000):
-                part = missing[a : a + 20_000]
+            for a in range(0, len(missing), self.most_scored):
+                part = missing[a : a + self.most_scored]
                 self.rows[first + a : first + a + len(part)] = self._score(part)
             self.at.update(zip(missing, range(first, first + len(missing)), strict=True))
             for i in np.flatnonzero(ids < 0).tolist():
@@ -189,10 +198,22 @@ class Identifier:
                 out.append((a, b, self.model.langs[k]))
         return out
 
+    def _parts(self, texts: list[str]) -> Iterator[list[str]]:
+        """The texts in turn, about most_chars characters at a time; a longer text comes alone."""
+        part, held = [], 0
+        for text in texts:
+            if part and held + len(text) > self.most_chars:
+                yield part
+                part, held = [], 0
+            part.append(text)
+            held += len(text)
+        if part:
+            yield part
+
     def predict(self, texts: list[str]) -> list[tuple[str, float, int]]:
         """Language of most letters, its share of them as the score, and the number of spans. OPENING goes to the first span's."""
         out = []
-        for words, labels, scores in self.label(texts):
+        for words, labels, scores in (found for part in self._parts(texts) for found in self.label(part)):
             if not words or not self.model.langs:
                 out.append(("und", 0.0, 0))
                 continue
