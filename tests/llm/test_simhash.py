@@ -76,3 +76,12 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     assert got == {i: 0 for i in range(101)} | {n: 1000 for n in (1000, *range(2000, 2050))}
     assert simhash.components(edges.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, a), (3, b), (3, b), (None, c), (5, c), (5, c), (4, c), (4, d), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "r", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row string, _ROW int")
+    left = simhash.drop_near_duplicates(docs)
+    assert left.columns == docs.columns and {r.row for r in left.collect()} == {"r"}
+    assert sorted(((r.doc_id, r.text or "") for r in left.collect()), key=repr) == sorted([(None, a), (3, b), (4, c), (4, d), (None, "")], key=repr)

@@ -56,6 +56,14 @@ def byte_slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterat
             yield batch.slice(start), [x or b"" for x in column.slice(start).to_pylist()]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores before it until no column of `df` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def map_texts(df: DataFrame, make: Callable[[list[bytes]], dict[str, list]], schema: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """For each row the columns `keep` and those that `make` gives for the UTF-8 texts of a slice of rows."""
     kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)

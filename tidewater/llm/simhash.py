@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import components, map_texts, stored
+from tidewater.llm.shared import components, free_name, map_texts, stored
 
 #: A shingle's words, and the seed of its XXH64.
 WORDS, SEED = 3, 42
@@ -46,9 +46,9 @@ def fingerprint_texts(texts: list[bytes]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; a null text counts as empty, and a text without words has fingerprint 0."""
-    return map_texts(docs, lambda texts: {"fp": fingerprint_texts(texts)}, "fp long")
+def fingerprints(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, fp) for every row; a null text counts as empty, and a text without words has fingerprint 0."""
+    return map_texts(docs, lambda texts: {"fp": fingerprint_texts(texts)}, "fp long", (key,))
 
 
 def masks(blocks: int) -> list[int]:
@@ -119,6 +119,12 @@ def links(distinct: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEV
     return out
 
 
+def _rooted(distinct: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """(fp, least_id, root) for `distinct` (fp, least_id): root is the smallest fingerprint of fp's component."""
+    roots = stored(components(links(distinct.select("fp"), group, levels)), "roots")
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs` (doc_id, text): component_id is the smallest doc_id reachable.
 
@@ -126,16 +132,21 @@ def near_duplicates(docs: DataFrame, group: int = GROUP, levels: tuple[int, ...]
     never is the smallest unless its whole component has no other. Of exact copies one fingerprint goes on.
     """
     marked = stored(fingerprints(docs), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = stored(components(links(distinct.select("fp"), group, levels)), "roots")
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    rooted = stored(rooted, "rooted")
+    rooted = stored(_rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), group, levels), "rooted")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """`docs` without the documents whose component has a smaller doc_id. Rows without one stay; rows with the same one go together."""
-    losers = near_duplicates(docs.select("doc_id", "text")).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(losers.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """`docs` with one row of each component: that with the smallest doc_id, nulls last, then by a hash of the text, then any.
+
+    Rows are written with a number of their own first, so that repeated rows and rows without a doc_id are told apart.
+    """
+    row = free_name(docs, "row")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col(row).alias("row"))
+    marked = stored(fingerprints(rows.select(key.alias("key"), "text"), "key"), "fingerprints")
+    rooted = _rooted(marked.groupBy("fp").agg(F.min("key").alias("least_id")))
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("key")).select(F.col("key.row").alias(row))
+    return rows.join(least.hint("merge"), row, "left_semi").select(*docs.columns)
