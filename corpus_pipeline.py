@@ -11,7 +11,7 @@ from tidewater.llm.lines import drop_frequent_lines
 from tidewater.llm.packing import pack
 from tidewater.llm.pii import redact_pii
 from tidewater.llm.quality_rules import drop_rejected
-from tidewater.llm.shared import work_dir
+from tidewater.llm.shared import free_name, work_dir
 from tidewater.llm.simhash import drop_near_duplicates
 
 
@@ -22,8 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that ten documents or more share go from all; every document stays, and n_chars follows its text."""
-    cut = drop_frequent_lines(docs)
-    return cut.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    n_lines, n_dropped = free_name(docs, "_n_lines"), free_name(docs, "_n_dropped")
+    cut = drop_frequent_lines(docs, counts=(n_lines, n_dropped))
+    return cut.withColumn("n_chars", F.when(F.col(n_dropped) > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

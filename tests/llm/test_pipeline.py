@@ -52,3 +52,16 @@ def test_edges(spark, tmp_path):
     assert {r.doc_id for r in distinct.collect()} >= {1, None}
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in clean.collect()}
     assert stages(spark, docs.limit(0), tmp_path / "b")[-1].count() == 0
+
+
+def test_helper_names_in_the_input(spark, tmp_path):
+    names = ("_row", "_owner", "_drops", "_n_lines", "_N_dropped", "_redacted", "row")
+    prose = " ".join(f"w{i}" for i in range(12))
+    rows = [(i, f"{prose} x{i} a{i}@b.co\nshared line", "en", 1, *(f"{n}{i}" for n in names)) for i in range(12)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, n_chars long, {', '.join(f'{n} string' for n in names)}")
+    ruled, cut, distinct, clean, packed = stages(spark, docs, tmp_path)
+    for df in (ruled, cut, distinct, clean):
+        assert df.columns == docs.columns and df.count() > 0
+        assert all(r[n] == f"{n}{r.doc_id}" for r in df.collect() for n in names)
+    assert all("shared" not in r.text and r.n_chars == len(r.text) for r in cut.collect())
+    assert all("[EMAIL]" in r.text for r in clean.collect())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 import xxhash
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.shared import SPACE, byte_slices, stored, unstored
+from tidewater.llm.shared import SPACE, byte_slices, free_name, stored, unstored
 
 #: Documents in which a line's key must occur for its lines to go.
 MIN_DOCS = 10
@@ -100,11 +101,11 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(keys, pa.binary())], names=["owner", "key"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], drops_name: str, counts: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     for batch, texts in byte_slices(batches):
         kept, n_lines, n_dropped = [], [], []
         old = batch.column("text").to_pylist()
-        for text, was, drops in zip(texts, old, batch.column("_drops").to_pylist(), strict=True):
+        for text, was, drops in zip(texts, old, batch.column(drops_name).to_pylist(), strict=True):
             lines = text.split(b"\n")
             gone = set(drops or ())
             left = [line for line in lines if line_key(line) not in gone] if gone else lines
@@ -112,19 +113,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(left))
         at = batch.schema.get_field_index("text")
-        columns = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "_drops"]
+        columns = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != drops_name]
         columns[at] = pa.array(kept, pa.string())
-        names = [n for n in batch.schema.names if n != "_drops"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "_n_lines", "_n_dropped"])
+        names = [n for n in batch.schema.names if n != drops_name]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, *counts])
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """`docs` (doc_id, text and any other columns), each text without its lines whose key is in `min_docs` documents; with _n_lines, _n_dropped.
+def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, counts: tuple[str, str] = ("_n_lines", "_n_dropped")) -> DataFrame:
+    """`docs` (doc_id, text and any other columns), each text without its lines whose key is in `min_docs` documents; with `counts`: its lines and those dropped.
 
     Every row counts as a document, repeated rows too. Lines of white space alone have no key and always stay. Null or
     empty texts are one empty line and stay as they are. Rows keep their other columns; none is dropped.
     """
     spark = docs.sparkSession
+    owner, dropped = free_name(docs, "_owner"), free_name(docs, "_drops")
     keys = stored(docs.select(_owner().alias("owner"), "text").mapInArrow(_keys, "owner long, key binary"), "line-keys")
     runs = LineRuns(min_docs, fanout)
     for i in range(batches):
@@ -132,11 +134,11 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int
         runs.add(batch.groupBy("key").agg(F.count("*").alias("n_docs")))
     frequent = runs.frequent(spark)
     runs.drop(spark)
-    drops = stored(keys.join(frequent, "key", "left_semi").groupBy("owner").agg(F.collect_set("key").alias("_drops")), "line-drops")
+    drops = stored(keys.join(frequent, "key", "left_semi").groupBy("owner").agg(F.collect_set("key").alias(dropped)), "line-drops")
     unstored(keys)
     unstored(frequent)
     # One shuffle of the texts at every size: what is to be dropped grows with the corpus, so it is never broadcast.
-    drops = drops.withColumnRenamed("owner", "_owner").hint("merge")
-    joined = docs.withColumn("_owner", _owner()).join(drops, "_owner", "left").select(*docs.columns, "_drops")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())])
-    return joined.mapInArrow(_cut, schema)
+    drops = drops.withColumnRenamed("owner", owner).hint("merge")
+    joined = docs.withColumn(owner, _owner()).join(drops, owner, "left").select(*docs.columns, dropped)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
+    return joined.mapInArrow(partial(_cut, drops_name=dropped, counts=counts), schema)

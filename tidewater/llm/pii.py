@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm import viterbi
-from tidewater.llm.shared import map_texts
+from tidewater.llm.shared import free_name, map_texts
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("none", *KINDS)
@@ -357,15 +357,15 @@ def redact_pii(docs: DataFrame) -> DataFrame:
 
     A map over rows: no shuffle, and no row goes. A null text stays null. All other columns pass through as they are.
     """
-    model, made = default_model(), []
+    model, made, redacted = default_model(), [], free_name(docs, "_redacted")
 
     def each(texts: list[bytes]) -> dict[str, list]:
         if not made:
             made.append(finder(model))
-        return {"_redacted": [redact(text, spans) if spans else None for text, _, spans in made[0](texts)]}
+        return {redacted: [redact(text, spans) if spans else None for text, _, spans in made[0](texts)]}
 
-    out = map_texts(docs, each, "_redacted string", tuple(docs.columns))
-    out = out.withColumn("text", F.coalesce("_redacted", "text"))
+    out = map_texts(docs, each, f"{redacted} string", tuple(docs.columns))
+    out = out.withColumn("text", F.coalesce(redacted, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_redacted").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(redacted).isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
