@@ -1,6 +1,7 @@
 import random
 from zlib import crc32
 
+import duckdb
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
@@ -74,6 +75,42 @@ def test_limits(limits):
             assert [p.start for p in own] == [sum(q.length for q in own[:k]) for k in range(len(own))]
 
 
+def test_long_runs_of_blanks(spark):
+    texts = ["x" + " " * 3_000_000 + "y", "\t" * 3_000_000 + "x", "\n" * 3_000_000 + "z", "a" + " \t\n" * 1_000_000, "\xa0" * 1_000_000 + "b", "ok"]
+    check(list(enumerate(texts)), packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), 0)
+
+
+def test_ids_equal_the_library_on_whole_tables():
+    library, encoder = Tokenizer.from_file(packing.VOCABULARY), packing.Encoder()
+    texts = [t for (t,) in duckdb.sql("select distinct text from '/root/testdata/sf0.1/documents.parquet' where text is not null").fetchall()]
+    for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encoder.ids(text.encode()) == np.array(found.ids, "<u4").tobytes()
+
+
+def test_conversations(spark):
+    library = Tokenizer.from_file(packing.VOCABULARY)
+    want: dict = {}
+    for conv, role, text in duckdb.sql(f"select conv_id, role, text from '{SF}/conversations.parquet'").fetchall():
+        n = len(library.encode(text or "", add_special_tokens=False).ids) + 1
+        total = want.setdefault(conv, [0, 0])
+        total[0] += n
+        total[1] += n * (role == "assistant")
+    got = queries.conversation_packing(spark, SF).collect()
+    assert {r.conv_id: [r.n_tokens, r.n_loss] for r in got} == want and len(got) == len(want)
+    held: dict = {}
+    for r in got:
+        assert (r.sequence_id is None) == (r.n_tokens > 2048 or r.n_loss > 1024)
+        if r.sequence_id is not None:
+            held.setdefault(r.sequence_id, []).append(r)
+    for own in held.values():
+        assert len(own) <= 8 and sum(r.n_tokens for r in own) <= 2048 and sum(r.n_loss for r in own) <= 1024
+    odd = [(1, "assistant", None), (None, "user", "a"), (None, None, "b"), (2, "assistant", "word " * 5000), (1, "assistant", None)]
+    turns = spark.createDataFrame([(*r, 1) for r in odd], "conv_id long, role string, text string, n_tokens int")
+    got = {r.conv_id: (r.n_tokens, r.n_loss, r.sequence_id is None) for r in packing.pack_conversations(turns).collect()}
+    assert got == {1: (2, 2, False), None: (4, 0, False), 2: (5002, 5002, True)}
+    assert packing.pack_conversations(turns.limit(0)).count() == 0
+
+
 def test_items(spark):
     items = spark.createDataFrame([(i, 100 + i % 900, i % 100) for i in range(300)] + [(300, None, None)], "item_id long, n_tokens long, n_loss long")
     got = packing.pack_items(items.repartition(2)).collect()

@@ -13,11 +13,14 @@ import pyarrow as pa
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from tidewater.llm.shared import byte_slices
+from tidewater.llm.shared import byte_slices, map_texts
 
-#: Limits of a sequence: tokens, segments, and tokens that bear loss.
+#: Limits of a sequence: tokens, segments, and tokens that bear loss; for conversations fewer segments and loss-bearing tokens.
 TOKENS, SEGMENTS, LOSS = 2048, 512, 2048
+CONVERSATIONS, CONVERSATION_LOSS = 8, 1024
 #: Open sequences in a task.
 OPEN = 64
 #: The id that ends a document, and the text of the vocabulary's special token with its id.
@@ -141,9 +144,11 @@ class Encoder:
 
     The vocabulary file is the tokenizers library's; its merges are applied by tiktoken, which takes a third of the time
     and gives the same ids, as the vocabulary's ids are in the order of its merges. The tests hold one against the other.
+    A text that tiktoken gives up, as one with a million blanks in a row, goes to the tokenizers library itself.
     """
 
     def __init__(self, path: str = VOCABULARY):
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
@@ -153,7 +158,13 @@ class Encoder:
         self.tokens = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
 
     def ids(self, text: bytes) -> bytes:
-        return self.tokens.encode_to_numpy(text.decode("utf-8", "replace"), allowed_special={SPECIAL}, disallowed_special=()).astype("<u4").tobytes()
+        plain = text.decode("utf-8", "replace")
+        try:
+            ids = self.tokens.encode_to_numpy(plain, allowed_special={SPECIAL}, disallowed_special=())
+        except ValueError:
+            self.library = self.library or Tokenizer.from_file(self.path)
+            ids = np.array(self.library.encode(plain, add_special_tokens=False).ids)
+        return ids.astype("<u4").tobytes()
 
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -163,9 +174,11 @@ def pack(docs: DataFrame, path: str = VOCABULARY, tokens: int = TOKENS, segments
     """The pieces of all rows of `docs` (doc_id, text) in sequences, with the contract's columns.
 
     Each task packs what it reads: no shuffle, nothing at the driver, and the pool and a slice of texts in memory. A
-    document's ids end with END; null texts count as empty and so have one id; rows with the same or a null doc_id are
-    documents of their own. Documents are cut freely and all their tokens bear loss. A task's last sequences have lengths
-    that are powers of two. sequence_id holds the task's partition in its upper bits, so no two tasks share one.
+    document's ids end with END; null texts count as empty and so have one id; rows with the same or a null doc_id, and
+    repeated rows, are documents of their own. A text of any length is encoded whole. Documents are cut freely and all
+    their tokens bear loss. Where two sequences suit a piece alike, the older takes it. A task's last sequences have lengths
+    that are powers of two. sequence_id holds the task's partition in its upper bits, so no two tasks share one. Other
+    columns are not read, whatever their names; an empty table gives no rows.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -206,30 +219,58 @@ def pack(docs: DataFrame, path: str = VOCABULARY, tokens: int = TOKENS, segments
 
 
 def pack_items(items: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = OPEN) -> DataFrame:
-    """`items` (item_id long, n_tokens long, n_loss long) of instruction data, each whole, as (item_id, sequence_id, offset).
+    """`items` (item_id, n_tokens long, n_loss long) of instruction data, each whole, as (item_id, n_tokens, n_loss, sequence_id, offset).
 
-    Null counts are 0. An item beyond a limit by itself fails the job, as dropping or cutting it would change its loss.
+    Each task packs what it reads, under all three limits. Null counts are 0. An item beyond a limit by itself is in no
+    sequence: its sequence_id and offset are null, as dropping or cutting it would change its loss. Repeated items and
+    those without an id are items of their own; an empty table gives no rows.
     """
+    id_type = items.schema["item_id"].dataType.simpleString()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, number = Packer(tokens, segments, loss, pool), TaskContext.get().partitionId() << 33
+        packer, number, kind = Packer(tokens, segments, loss, pool), TaskContext.get().partitionId() << 33, None
 
-        def rows(done: list[Sequence]) -> pa.RecordBatch:
+        def rows(done: list[Sequence], alone: list[tuple]) -> pa.RecordBatch:
             nonlocal number
-            out: list[tuple] = []
+            out = alone
             for sequence in done:
                 offset = 0
                 for p in sequence.pieces:
-                    out.append((p.item, number, offset))
+                    out.append((p.item, p.length, p.loss, number, offset))
                     offset += p.length
                 number += 1
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["item_id", "sequence_id", "offset"])
+            names = ["item_id", "n_tokens", "n_loss", "sequence_id", "offset"]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64() if i else kind) for i in range(5)], names=names)
 
         for batch in batches:
-            done = []
+            done, alone, kind = [], [], batch.column(0).type
             for item, n, bears in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                done += packer.add(Piece(item, 0, n or 0, bears or 0), cuttable=False)
-            yield rows(done)
-        yield rows(packer.flush(cuttable=False))
+                if (n or 0) > tokens or (bears or 0) > loss:
+                    alone.append((item, n, bears or 0, None, None))
+                else:
+                    done += packer.add(Piece(item, 0, n or 0, bears or 0), cuttable=False)
+            yield rows(done, alone)
+        if kind is not None:
+            yield rows(packer.flush(cuttable=False), [])
+
+    return items.select("item_id", "n_tokens", "n_loss").mapInArrow(each, f"item_id {id_type}, n_tokens long, n_loss long, sequence_id long, offset long")
+
+
+def pack_conversations(turns: DataFrame, path: str = VOCABULARY, tokens: int = TOKENS, segments: int = CONVERSATIONS, loss: int = CONVERSATION_LOSS) -> DataFrame:
+    """The conversations of `turns` (conv_id, role, text), each whole, as pack_items() gives them with conv_id for item_id.
+
+    A turn's tokens are its text's ids and END; those of the assistant's turns bear loss. Turns are counted where they are
+    read and sums of a conversation meet, so no text is shuffled and a conversation of any length is one row. Null texts
+    are empty; turns without a conv_id make up one conversation without an id.
+    """
+    made: list[Encoder] = []
+
+    def each(texts: list[bytes]) -> dict[str, list]:
+        if not made:
+            made.append(Encoder(path))
+        return {"n_tokens": [len(made[0].ids(t)) // 4 + 1 for t in texts]}
 
-    return items.select("item_id", "n_tokens", "n_loss").mapInArrow(each, "item_id long, sequence_id long, offset long")
+    counted = map_texts(turns, each, "n_tokens long", ("conv_id", "role"))
+    bears = F.when(F.col("role") == "assistant", F.col("n_tokens")).otherwise(0)
+    items = counted.groupBy(F.col("conv_id").alias("item_id")).agg(F.sum("n_tokens").alias("n_tokens"), F.sum(bears).alias("n_loss"))
+    return pack_items(items, tokens, segments, loss).withColumnRenamed("item_id", "conv_id")

@@ -40,6 +40,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 on instruction data: whole conversations under limits on tokens, segments and loss-bearing tokens."""
+    return packing.pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fingerprint.compare_with_edit(documents(spark, sf_dir))
     return found.select(
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
+    "conversation_packing": conversation_packing,
 }
 
 #: ASCII white space, and A-Z lower-cased, as SQL.
