@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,15 +13,14 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\x0c\r"
 #: Characters that a task handles at once.
 SLICE_BYTES = 4_000_000
+#: Rows (node, least) up to which components() broadcasts them, some 24 MB; and links of a node beyond which it is hot.
+BROADCAST_NODES, HOT_LINKS = 500_000, 1000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where none is set."""
+    """The folder in spark.checkpoint.dir, or else one under the warehouse: both are shared by all executors."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidewater-')}")
-        found = spark.sparkContext.getCheckpointDir()
-    return found
+    return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidewater"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -82,12 +80,14 @@ def _arrow(kind: str) -> pa.DataType:
     return {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}[kind]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, broadcast: int = BROADCAST_NODES, hot: int = HOT_LINKS) -> DataFrame:
     """(node, root) for every node of the undirected `edges` (a, b), all long: root is the component's smallest node.
 
-    Large-star and small-star steps in turn until nothing changes, each one aggregation and one join. A node with very
-    many neighbours is pre-aggregated before the shuffle, and Spark splits its partition in the join. The tables of the
-    steps are written to the shared folder, so a lost executor never costs more than a step.
+    Large-star and small-star steps in turn until nothing changes, each two aggregations and two joins with their results.
+    Nodes' least neighbours are pre-aggregated before a shuffle; they are broadcast while the links can't have more than
+    `broadcast` nodes, and beyond it only those of nodes with over `hot` links are, so no node's links ever meet in one
+    task. The tables of the steps are written to the shared folder, so a lost executor never costs more than a step.
+    Links from a node to itself and repeated links count for nothing; without links there are no rows.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
@@ -96,12 +96,25 @@ def components(edges: DataFrame) -> DataFrame:
         if (found.n, found.h) == seen or not found.n:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         seen = (found.n, found.h)
+        small = 2 * found.n <= broadcast
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(small, "a").select(F.col("b").alias("x"), "m").where("x <> m")
-        step = linked.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both, least, small, broadcast, hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        linked = _with_least(large, least, small, broadcast, hot).select(F.col("b").alias("x"), "m").where("x <> m")
+        step = linked.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         after = stored(step.where("a <> b").distinct(), "links")
         unstored(now)
         now = after
+
+
+def _with_least(links: DataFrame, least: DataFrame, small: bool, broadcast: int, hot: int) -> DataFrame:
+    """`links` (a, b) with m of `least` (a, m, n links), which has every a."""
+    if small:
+        return links.join(F.broadcast(least.drop("n")), "a")
+    least = stored(least, "least")
+    busy = least.where(F.col("n") > hot).drop("n")
+    if not 0 < busy.count() <= broadcast:
+        return links.join(least.drop("n"), "a")
+    busy, rest = F.broadcast(busy), least.where(F.col("n") <= hot).drop("n")
+    return links.join(busy, "a").unionByName(links.join(busy, "a", "left_anti").join(rest, "a"))
