@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import duckdb
+import pytest
 
 from tidewater.llm import lines, queries
 
@@ -11,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 def brute(rows, least):
     key = lambda s: "".join(c.lower() if c.isascii() else c for c in s.strip(" \t\n\x0b\x0c\r"))
     docs = [(d, (t or "").split("\n")) for d, t in rows]
-    found = Counter(k for _, ls in docs for k in {key(x) for x in ls} if k)
+    found = Counter(k for _, k in {(t if d is None else d, key(x)) for d, t in rows for x in (t or "").split("\n")} if k)
     kept = [(d, len(ls), [x for x in ls if found[key(x)] < least]) for d, ls in docs]
     return sorted(((d, n, n - len(x), hashlib.sha256("\n".join(x).encode()).hexdigest()) for d, n, x in kept), key=repr)
 
@@ -34,3 +35,44 @@ def test_edges(spark):
         found = sorted(((r.doc_id, r._n_lines, r._n_dropped, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in got.collect()), key=repr)
         assert found == brute(rows, 3)
     assert lines.drop_frequent_lines(docs.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_one_document(spark):
+    rows = [(1, "a\nb")] * 12 + [(i, "c\nd") for i in range(2, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.text for r in lines.drop_frequent_lines(docs).collect()} == {"a\nb", ""}
+    con = duckdb.connect()
+    con.sql("create table documents as select unnest(range(1, 13)) as n, 1 as doc_id, 'a' || chr(10) || 'b' as text")
+    assert con.sql(queries.ORACLE["op9_lines"]).fetchall()[0][2] == 0
+
+
+def test_runs_outlive_a_call(spark):
+    rows = [(i, f"seen everywhere\nown {i}\n{'late' if i > 7 else 'early'}") for i in range(14)]
+    name, docs = "line_runs_of_a_test", [spark.createDataFrame(rows[a : a + 2], "doc_id long, text string") for a in range(0, 14, 2)]
+    for k, part in enumerate(docs):
+        got = lines.drop_frequent_lines(part, 6, 1, 2, name=name)
+        seen = rows[: 2 * k + 2]
+        want = brute(seen, 6)
+        found = {(r.doc_id, r._n_lines, r._n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in got.collect()}
+        assert found == {w for w in want if w[0] in (2 * k, 2 * k + 1)}
+    runs = lines.LineRuns(spark, 6, 2, name)
+    assert runs.batches == 7 and 1 < len(runs.levels) and len(runs._runs()) == 3
+    spark.table(runs._runs()[0]).write.saveAsTable(f"{name}_0_3_3")  # what a job leaves that dies after it compacted batch 3
+    runs = lines.LineRuns(spark, 6, 2, name)
+    assert len(runs._runs()) == 3 and not spark.catalog.tableExists(f"{name}_0_3_3")
+    runs.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
+def test_runs_go_when_a_call_fails(spark, monkeypatch):
+    monkeypatch.setattr(lines.LineRuns, "frequent", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        lines.drop_frequent_lines(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
+def test_malformed_text(spark):
+    docs = spark.range(12).selectExpr("id as doc_id", "cast(concat(X'FF61', cast('\nsame\n' as binary), if(id = 3, X'C3', X'')) as string) as text")
+    docs = docs.union(spark.sql("select 50L, cast(X'FFFE' as string)"))
+    got = lines.drop_frequent_lines(docs).selectExpr("doc_id", "_n_dropped", "hex(cast(text as binary)) as h").collect()
+    assert sorted((r.doc_id, r._n_dropped) for r in got) == [(i, 2 - (i == 3) * 0) for i in range(12)] + [(50, 0)] and {r.h for r in got if r.doc_id == 50} == {"FFFE"}

@@ -7,8 +7,9 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,56 +34,72 @@ class LineRuns:
 
     A key that reaches `min_docs` in one run is settled: later batches anti-join it away instead of counting it again.
     Every other key's documents are the sum over all runs, so no order or number of batches changes what is frequent.
+
+    Runs are tables of the catalogue, named by `name` and the first and last batch that they hold. With a name given, runs
+    of that name from earlier jobs are taken up again, and new batches are added to them. A run whose batches another
+    holds as well was compacted by a job that died before it dropped it, and is dropped then.
     """
 
-    def __init__(self, min_docs: int = MIN_DOCS, fanout: int = FANOUT):
-        self.min_docs, self.fanout = min_docs, fanout
+    def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT, name: str | None = None):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.name = name or f"line_run_{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
-
-    def _write(self, counts: DataFrame) -> str:
-        spark = counts.sparkSession
-        name, buckets = f"line_run_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-        counts.repartition(buckets, "key").write.bucketBy(buckets, "key").sortBy("key").format("parquet").saveAsTable(name)
-        return name
+        self.batches = 0
+        found = [t.name for t in spark.catalog.listTables(pattern=f"{self.name}_*")] if name else []
+        spans = {t: tuple(map(int, t.removeprefix(f"{self.name}_").split("_"))) for t in found}
+        for t, (level, first, last) in sorted(spans.items(), key=lambda x: x[1][1:]):
+            if any(o != t and b <= first and last <= c for o, (_, b, c) in spans.items()):
+                spark.sql(f"DROP TABLE {t}")
+                continue
+            self._put(t, level)
+            self.batches = max(self.batches, last + 1)
+
+    def _put(self, run: str, level: int) -> None:
+        self.levels += [[] for _ in range(level + 1 - len(self.levels))]
+        self.levels[level].append(run)
+
+    def _write(self, counts: DataFrame, level: int, first: int, last: int) -> None:
+        run, buckets = f"{self.name}_{level}_{first}_{last}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        counts.repartition(buckets, "key").write.bucketBy(buckets, "key").sortBy("key").format("parquet").saveAsTable(run)
+        self._put(run, level)
+
+    def _runs(self) -> list[str]:
+        return [r for level in self.levels for r in level]
 
     def add(self, counts: DataFrame) -> None:
         """Takes in a batch's (key, n_docs): what no run has settled becomes a run of level 0; full levels are compacted."""
-        spark = counts.sparkSession
-        for run in [r for level in self.levels for r in level]:
-            counts = counts.join(self._settled(spark.table(run)).hint("merge"), "key", "left_anti")
-        if not self.levels:
-            self.levels.append([])
-        self.levels[0].append(self._write(counts))
-        level = 0
+        for run in self._runs():
+            counts = counts.join(self._settled(self.spark.table(run)).hint("merge"), "key", "left_anti")
+        self._write(counts, 0, self.batches, self.batches)
+        self.batches, level = self.batches + 1, 0
         while len(self.levels[level]) >= self.fanout:
-            merged = self._write(self._summed(spark, self.levels[level]))
-            for run in self.levels[level]:
-                spark.sql(f"DROP TABLE {run}")
+            old = self.levels[level]
+            ends = [int(x) for run in old for x in run.split("_")[-2:]]
+            self._write(self._summed(old), level + 1, min(ends), max(ends))
+            for run in old:
+                self.spark.sql(f"DROP TABLE {run}")
             self.levels[level] = []
             level += 1
-            if level == len(self.levels):
-                self.levels.append([])
-            self.levels[level].append(merged)
 
     def _settled(self, run: DataFrame) -> DataFrame:
         return run.where(F.col("n_docs") >= self.min_docs).select("key")
 
-    def _summed(self, spark, runs: list[str]) -> DataFrame:
+    def _summed(self, runs: list[str]) -> DataFrame:
         """The runs merged, each key's documents added up. Not by a union: Spark 4.1 takes one of bucketed tables as dealt by key and sums amiss."""
-        every = spark.table(runs[0])
+        every = self.spark.table(runs[0])
         for run in runs[1:]:
-            more = spark.table(run).withColumnRenamed("n_docs", "n_more").hint("merge")
+            more = self.spark.table(run).withColumnRenamed("n_docs", "n_more").hint("merge")
             added = F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_more", F.lit(0))
             every = every.join(more, "key", "full").select("key", added.alias("n_docs"))
         return every
 
-    def frequent(self, spark) -> DataFrame:
+    def frequent(self) -> DataFrame:
         """The keys (key) found in at least `min_docs` documents so far, as a table of their own; the runs stay."""
-        return stored(self._settled(self._summed(spark, [r for level in self.levels for r in level])), "frequent-lines")
+        return stored(self._settled(self._summed(self._runs())), "frequent-lines")
 
-    def drop(self, spark) -> None:
-        for run in [r for level in self.levels for r in level]:
-            spark.sql(f"DROP TABLE {run}")
+    def drop(self) -> None:
+        for run in self._runs():
+            self.spark.sql(f"DROP TABLE {run}")
         self.levels = []
 
 
@@ -93,47 +110,59 @@ def _owner() -> Column:
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in byte_slices(batches):
-        owners, keys = [], []
-        for owner, text in zip(batch.column("owner").to_pylist(), texts, strict=True):
+        owners, parts, keys = [], [], []
+        for owner, part, text in zip(batch.column("owner").to_pylist(), batch.column("batch").to_pylist(), texts, strict=True):
             found = {line_key(line) for line in text.split(b"\n")} - {None}
             owners += [owner] * len(found)
+            parts += [part] * len(found)
             keys += found
-        yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(keys, pa.binary())], names=["owner", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.int64())], names=["owner", "key", "batch"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], drops_name: str, counts: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    """Texts that lose nothing pass as they are; only the others are put together anew."""
     for batch, texts in byte_slices(batches):
-        kept, n_lines, n_dropped = [], [], []
-        old = batch.column("text").to_pylist()
-        for text, was, drops in zip(texts, old, batch.column(drops_name).to_pylist(), strict=True):
+        at = batch.schema.get_field_index("text")
+        old, changed, n_lines, n_dropped = batch.column(at), [], [], []
+        for text, drops in zip(texts, batch.column(drops_name).to_pylist(), strict=True):
             lines = text.split(b"\n")
             gone = set(drops or ())
             left = [line for line in lines if line_key(line) not in gone] if gone else lines
-            kept.append(was if len(left) == len(lines) else b"\n".join(left).decode())
+            changed.append(None if len(left) == len(lines) else b"\n".join(left).decode("utf-8", "replace"))
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(left))
-        at = batch.schema.get_field_index("text")
-        columns = [batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != drops_name]
-        columns[at] = pa.array(kept, pa.string())
         names = [n for n in batch.schema.names if n != drops_name]
+        columns = [batch.column(n) for n in names]
+        columns[names.index("text")] = pc.coalesce(pa.array(changed, old.type), old)
         yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, *counts])
 
 
-def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, counts: tuple[str, str] = ("_n_lines", "_n_dropped")) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, counts: tuple[str, str] = ("_n_lines", "_n_dropped"), name: str | None = None) -> DataFrame:
     """`docs` (doc_id, text and any other columns), each text without its lines whose key is in `min_docs` documents; with `counts`: its lines and those dropped.
 
-    Every row counts as a document, repeated rows too. Lines of white space alone have no key and always stay. Null or
-    empty texts are one empty line and stay as they are. Rows keep their other columns; none is dropped.
+    With `name`, the runs of that name from earlier calls count as well, and take these documents in and stay; every call is
+    taken to bring new documents. Without it, the runs go when the call ends, however it ends.
+
+    A document is a doc_id: repeated rows and rows of one doc_id count once, and so do rows without a doc_id whose texts are
+    equal. Each row is cut by itself. Lines of white space alone have no key and always stay. Null or empty texts are one
+    empty line and stay as they are. Long texts are taken whole; bytes that aren't UTF-8 stay in texts that lose no line,
+    and become U+FFFD in others. Rows keep their other columns, whatever their names (those of `counts` excepted); none is
+    dropped. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     owner, dropped = free_name(docs, "_owner"), free_name(docs, "_drops")
-    keys = stored(docs.select(_owner().alias("owner"), "text").mapInArrow(_keys, "owner long, key binary"), "line-keys")
-    runs = LineRuns(min_docs, fanout)
-    for i in range(batches):
-        batch = keys.where(F.pmod(F.xxhash64("owner"), F.lit(batches)) == i)
-        runs.add(batch.groupBy("key").agg(F.count("*").alias("n_docs")))
-    frequent = runs.frequent(spark)
-    runs.drop(spark)
+    cut = docs.select(_owner().alias("owner"), "text").withColumn("batch", F.pmod(F.xxhash64("owner"), F.lit(batches)))
+    keys = stored(cut.mapInArrow(_keys, "owner long, key binary, batch long"), "line-keys", "batch")
+    runs = LineRuns(spark, min_docs, fanout, name)
+    try:
+        for i in range(batches):
+            # Distinct before counting, so that rows of one document count once; a line that all share is summed where it is read.
+            batch = keys.where(F.col("batch") == i).select("owner", "key").distinct()
+            runs.add(batch.groupBy("key").agg(F.count("*").alias("n_docs")))
+        frequent = runs.frequent()
+    finally:
+        if name is None:
+            runs.drop()
     drops = stored(keys.join(frequent, "key", "left_semi").groupBy("owner").agg(F.collect_set("key").alias(dropped)), "line-drops")
     unstored(keys)
     unstored(frequent)

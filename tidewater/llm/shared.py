@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,17 +24,17 @@ def work_dir(spark: SparkSession) -> str:
     return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidewater"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again, which cuts its lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """`df` written to the shared folder (in folders by the columns `by`) and read again, which cuts its lineage and survives lost executors."""
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def unstored(df: DataFrame) -> None:
     """Deletes the files of a table that stored() made and that nothing needs any more."""
     jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    for folder in {re.sub(r"(/[^/]*=[^/]*)*/[^/]*\Z", "", f) for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 
