@@ -47,6 +47,25 @@ def test_groups_and_edges(spark, tmp_path, monkeypatch):
     check(list(zip(ids, texts, strict=True)), {r.doc_id: r for r in queries.op5_fingerprints(spark, str(tmp_path)).collect()})
 
 
+def test_groups_are_even_however_ids_lie(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "GROUP_ROWS", 20)
+    runs = [(shard << 40) + i for shard in range(100) for i in range(200)]
+    for ids in (runs, list(range(20_000)), [*range(13_000), *[5_000] * 7_000], [i**3 for i in range(20_000)], [None] * 20_000):
+        docs = spark.createDataFrame([(i, f"text {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+        frame = fingerprint.grouped(docs)
+        sizes = [r["count"] for r in frame.groupBy("_group").count().collect()]
+        most = 40 if len(set(ids)) == len(ids) else 60  # rows of one id are dealt by a hash
+        assert sum(sizes) == 20_000 and max(sizes) <= most, max(sizes)
+        rows = sorted((r._place, r._tie, r._group) for r in frame.collect())
+        assert [g for _, _, g in rows] == sorted(g for _, _, g in rows)
+
+
+def test_texts_without_words_are_unlike_all_others(spark):
+    docs = spark.createDataFrame([(1, ""), (2, "a b c d e f"), (3, " \n"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.near_next for r in fingerprint.compare_with_edit(docs).collect()}
+    assert got == {1: 0, 2: 0, 3: 1, 4: 1}
+
+
 def test_nulls_ties_and_few_rows(spark):
     rows = [(None, None, 1), (None, "b c", 2), (5, "x y", 3), (5, "x y", 3), (5, None, 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
