@@ -1,5 +1,9 @@
 import itertools
+import math
 import random
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -34,6 +38,75 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def brute(rows):
+    """Predictions of op2 for (doc_id, text, lang), with plain loops."""
+    word = re.compile(r"[^\W\d_]+")
+    script = lambda c: langid.SCRIPTS.index(max((a, s) for a, s in langid._RANGES if a <= ord(c))[1])
+
+    def buckets(w):
+        chars, out = f"\x02{w}\x03", []
+        for i in range(len(chars)):
+            v = 0
+            for n, c in enumerate(chars[i : i + 4], 1):
+                v = (v * 0x9E3779B97F4A7C15 + ord(c) + n) % 2**64
+                out.append((v ^ v >> 29) * 0xBF58476D1CE4E5B9 % 2**64 >> 49)
+        return out
+
+    train = [(t, k) for d, t, k in rows if zlib.crc32(str(d).encode()) % 4 != 2 and t is not None and k is not None]
+    langs = sorted({k for _, k in train})
+    hits, seen = {k: Counter() for k in langs}, {k: Counter() for k in langs}
+    for t, k in train:
+        for w in word.findall(t.lower()):
+            hits[k].update(buckets(w))
+            seen[k].update(map(script, w))
+    log = {k: lambda b, k=k: math.log((hits[k][b] + 0.5) / (hits[k].total() + 0.5 * langid.BUCKETS)) for k in langs}
+    allowed = {k: {s for s, n in seen[k].items() if n >= max(1, 0.01 * sum(m for x, m in seen[k].items() if x))} for k in langs}
+
+    def scores(w):
+        own = buckets(w)
+        mean = {b: sum(log[k](b) for k in langs) / len(langs) for b in own}
+        kinds = Counter(map(script, w))
+        top = min((s for s in kinds if s), key=lambda s: (-kinds[s], s), default=1)
+        can = [k for k in langs if top in allowed[k]] or langs
+        return {k: max(-4, min(4, sum(log[k](b) - mean[b] for b in own) / math.sqrt(len(own)))) if k in can else -1e6 for k in langs}
+
+    out = {}
+    for d, t, _ in rows:
+        words = word.findall((t or "").lower())
+        if not words:
+            out[d] = ("und", 0.0)
+            continue
+        each, paths = [scores(w) for w in words], []
+        best = {k: (each[0][k], [k]) for k in langs}
+        for e in each[1:]:
+            best = {k: max(((best[j][0] - 6 * (j != k), best[j][1]) for j in langs), key=lambda x: x[0]) for k in langs}
+            best = {k: (v + e[k], [*path, k]) for k, (v, path) in best.items()}
+        paths = max(best.values(), key=lambda x: x[0])[1]
+        share = {k: sum(len(w) for w, p in zip(words, paths, strict=True) if p == k) / sum(map(len, words)) for k in langs}
+        lang = max(langs, key=lambda k: share[k] + 0.25 * (k == paths[0]))
+        out[d] = (lang, share[lang])
+    return out
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    rng = random.Random(4)
+    pools = {"en": "the house and water with that thing of is".split(), "de": "das haus und die schwester nicht über ist".split(), "ru": "это дом и вода что как так не".split(), "bg": "това къща и вода че как така не".split()}
+    rows = [(i, " ".join(rng.choice(pools[k]) for _ in range(rng.randint(3, 12))), k) for i, k in enumerate(sorted(pools) * 12)]
+    rows += [(100, "the house and water это дом и вода так", "en"), (101, None, "de"), (102, "12 --", None), (103, "", "ru"), (104, "das haus the water 漢字", None), (105, "ελληνικά", None)]
+    rows += [(106, " ".join([*pools["en"] * 2, "дом", *pools["en"] * 2]), None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op2_language(spark, str(tmp_path)).collect()}
+    want = brute(rows)
+    assert {d: r.lang_pred for d, r in got.items()} == {d: lang for d, (lang, _) in want.items()}
+    assert all(got[d].score == pytest.approx(score) and got[d].held_out == (zlib.crc32(str(d).encode()) % 4 == 2) for d, (_, score) in want.items())
+
+
+def test_equal_languages_are_told_apart_by_rule(spark):
+    docs = spark.createDataFrame([(i, "same words here", lang) for i, lang in enumerate(["b", "a", "b", "c"])], "doc_id long, text string, lang string")
+    got = langid.identify(docs.union(docs), langid.fit(docs)).collect()
+    assert len(got) == 8 and len({(r.lang_pred, r.score) for r in got}) == 1
+
+
 def test_spans_scripts_and_edges(spark):
     english, german, russian = "the house and the water with that thing", "das haus und die schwester nicht über", "это дом и вода что как так"
     rows = [(i, t, lang) for i, (t, lang) in enumerate([(english, "en"), (german, "de"), (russian, "ru"), (english, None), (None, "fr")] * 5)]

@@ -22,7 +22,10 @@ BUCKETS = 1 << 15
 SAMPLE, LANGUAGES = 3000, 256
 #: What a change of language costs, and bounds on a word's score (natural logarithms), so that one odd word costs no more than a change.
 SWITCH, MOST = 6.0, 4.0
+#: Score of a word in a language that isn't written in its script: no path takes it while another language is.
+BARRED = -1e6
 #: Added to the share of letters of the language that a text opens in: what tips the balance where two are nearly even.
+#: Accuracy on held-out texts doesn't rest on it (README).
 OPENING = 0.25
 #: Share of a language's letters that a script needs to count as one of its scripts.
 SCRIPT_SHARE = 0.01
@@ -112,7 +115,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Mo
     The texts are those whose hash is lowest, so each is taken or not by itself: no sort and no shuffle of texts, and a
     language with a third of all rows is no more work than another. Counts of buckets are summed by Spark; at most
     `languages` times BUCKETS numbers reach the driver. Every value of `lang` is learned, however rare; with more than
-    `languages` of them no model is made and a ValueError says so.
+    `languages` of them no model is made and a ValueError says so. Rows without text or lang teach nothing; repeated rows
+    count as often as they stand; an empty table gives a model without languages.
     """
     sizes = docs.where("lang IS NOT NULL AND text IS NOT NULL").groupBy("lang").count().limit(languages + 1).collect()
     if len(sizes) > languages:
@@ -144,7 +148,7 @@ class Identifier:
         self.rows = np.zeros((1024, len(self.model.langs)), np.float32)
 
     def _score(self, words: list[str]) -> np.ndarray:
-        """Sums over a word's runs, bounded; languages that don't use its script are as far as the bound allows, twice."""
+        """Sums over a word's runs, bounded; languages that don't use its script are no candidates, unless none does."""
         buckets, runs = word_features(words)
         starts = np.cumsum(runs) - runs
         scores = np.add.reduceat(self.model.scores[buckets], starts, axis=0) / np.sqrt(runs)[:, None]
@@ -155,7 +159,7 @@ class Identifier:
         script = own[:, 1:].argmax(axis=1) + 1
         scores = np.clip(scores, -MOST, MOST)
         allowed = self.model.allowed[:, script].T
-        return np.where(allowed | ~allowed.any(axis=1, keepdims=True), scores, -3 * MOST).astype(np.float32)
+        return np.where(allowed | ~allowed.any(axis=1, keepdims=True), scores, BARRED).astype(np.float32)
 
     def _ids(self, words: list[str]) -> np.ndarray:
         if len(self.at) > self.most_known:
@@ -229,7 +233,11 @@ class Identifier:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score, n_spans) for every row of `docs` (doc_id, text); `und` with score 0 for no letters or null.
 
-    Only the text is read. Letters of scripts that no language is written in are scored by their runs all the same.
+    Only the text is read, whole and whatever its length; other columns may have any names. Letters of scripts that no
+    language is written in are scored by their runs all the same. Each row is judged by itself, so repeated rows and rows
+    of one or no doc_id have their own results. Of languages with as many letters (and OPENING) that with the greater sum
+    of word scores wins, then the one with more training text, then the later in the alphabet. A model without languages
+    gives `und`; an empty table gives no rows.
     """
     id_type, made = docs.schema["doc_id"].dataType, []
 
