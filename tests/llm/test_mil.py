@@ -1,8 +1,14 @@
+import random
 import re
+import zlib
+from itertools import pairwise
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import mil, queries
+from tidewater.llm.quality_rules import _class_table
 
 SF = "/root/testdata/sf0.1"
 
@@ -46,6 +52,76 @@ def test_passages_against_brute_force():
     assert np.allclose(x, alone)
 
 
+def brute_passage(part):
+    """Features of a passage (words), with plain loops."""
+    chars, words = "".join(part), max(1, len(part))
+    size = max(1, len(chars))
+    kind = lambda c: mil.CLASSES[_class_table()[ord(c)]]
+    out = [sum(kind(c) == k for c in chars) / size for k in mil.CLASSES if k != "space"]
+    out += [chars.count(m) / words for m in mil._MARKS]
+
+    def word_hash(w):
+        h = 0
+        for i, c in enumerate(w):
+            m = (ord(c) + 1) * 0x9E3779B97F4A7C15 % 2**64 ^ i * 0xC2B2AE3D27D4EB4F % 2**64
+            h += (m ^ m >> 31) * 0xBF58476D1CE4E5B9
+        h %= 2**64
+        return (h ^ h >> 29) * 0x94D049BB133111EB % 2**64
+
+    hashes = [word_hash(w) for w in part]
+    out += [sum(h >> 60 == b for h in hashes) / words for b in range(mil.BUCKETS)]
+    lengths = [len(w) for w in part]
+    spread = sum(n * n for n in lengths) / words - (size / words) ** 2
+    upper = sum(len(w) > 1 and all(kind(c) == "upper" for c in w) for w in part)
+    return out + [len(set(hashes)) / words, sum(a == b for a, b in pairwise(hashes)) / words, size / words / 10, max(0, spread) ** 0.5 / 10, upper / words, sum(n <= 3 for n in lengths) / words, min(words, 64) / 64]
+
+
+def brute_bag(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return np.array([brute_passage(words[i : i + 64]) for i in range(0, len(words), 64)] or [brute_passage([])], np.float32)
+
+
+def brute_score(weights, bag):
+    w, each = weights, []
+    for x in bag:
+        h = np.maximum(0, (x - w["mean"]) / w["scale"] @ w["embed"] + w["embed_0"])
+        each.append((h, float((np.tanh(h @ w["tanh"]) / (1 + np.exp(-(h @ w["gate"])))) @ w["attend"])))
+    top = max(e for _, e in each)
+    share = [np.exp(e - top) for _, e in each]
+    pooled = sum(s * h for s, (h, _) in zip(share, each, strict=True)) / sum(share)
+    return 1 / (1 + np.exp(-(pooled @ w["score"] + w["score_0"])))
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    rng, rows, labels = random.Random(6), [], []
+    for i in range(60):
+        good = i % 3 > 0
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) if good or rng.random() < 0.5 else rng.choice(["!!", "BUY", "$$", "|"]) for _ in range(rng.randint(0, 150))]
+        rows.append((i, " ".join(words)))
+        labels += [(i, int(good), 0)] if i % 4 else []
+    rows += [(60, None), (61, ""), (62, "Ä Ö ÉÉ 漢字 " * 2000)]
+    labels += [(62, 1, 0), (5, None, 0), (None, 1, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op6_quality(spark, str(tmp_path)).collect()}
+    bags = {d: brute_bag(t) for d, t in rows}
+    label = {d: q for d, q, _ in labels if d is not None and q is not None}
+    held = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 5 == 0}
+    fit = sorted(label.keys() - held)
+    parts = [bags[d][np.unique(np.linspace(0, len(bags[d]) - 1, min(64, len(bags[d]))).astype(int))] for d in fit]
+    model = mil.train(np.concatenate(parts), np.array([len(p) for p in parts]), np.array([label[d] for d in fit], float))
+    for d, r in got.items():
+        assert r.score == pytest.approx(brute_score(model.weights, bags[d]), abs=1e-3), d
+        assert r.held_out == (d in held) and r.predicted == (r.score >= 0.3)
+    assert len(got) == len(rows)
+
+
+def test_what_the_driver_gets_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "long text " * 100_000) for i in range(4)], "doc_id long, text string").withColumn("label", F.lit(1).cast("long"))
+    found = docs.mapInArrow(mil._encoded, "doc_id long, label long, x binary").collect()
+    assert [len(r.x) for r in found] == [4 * mil.FIT_PASSAGES * mil.N_FEATURES] * 4
+
+
 def test_held_out_accuracy(spark):
     quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     got = queries.op6_quality(spark, SF).collect()

@@ -15,8 +15,9 @@ from tidewater.llm.shared import byte_slices
 
 #: Words of a passage, and buckets of hashed words in its features.
 PASSAGE, BUCKETS = 64, 16
-#: Labelled texts that the model is fitted on, about, by a draw of each row.
-SAMPLE = 6000
+#: Labelled texts that the model is fitted on, about, by a draw of each row; passages of each that it is fitted on at most,
+#: evenly spaced. So some 54 MB reach the driver at most, whatever the corpus. Scores are of all passages of all texts.
+SAMPLE, FIT_PASSAGES = 6000, 64
 #: Sizes of a passage's representation and of its attention; steps of the training, their rate and decay, and the texts of each.
 HIDDEN, ATTENTION, STEPS, RATE, DECAY, STEP = 24, 12, 1200, 0.01, 1e-3, 128
 
@@ -154,15 +155,16 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in byte_slices(batches):
         x, per_text = encode([t.decode("utf-8", "replace") for t in texts])
         ends = np.cumsum(per_text)
-        rows = [x[e - n : e].tobytes() for e, n in zip(ends, per_text, strict=True)]
+        rows = [x[e - n : e][np.unique(np.linspace(0, n - 1, min(n, FIT_PASSAGES)).astype(int))].tobytes() for e, n in zip(ends, per_text, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model fitted on about `sample` of the texts of `docs` (doc_id, text) that `labels` (doc_id, label 0 or 1) names.
 
-    Rows are drawn by a hash of their ids. Only the passages' features of these whole texts reach the driver: `sample`
-    bounds the texts, each text's passages come in full. Null labels and ids count as none.
+    Rows are drawn by a hash of their ids. Only features of passages of these texts reach the driver: of a text of up to
+    FIT_PASSAGES passages all, of a longer one as many, evenly spaced. Null labels and ids count as none; a null text is
+    empty; repeated rows count as often as they stand. Without texts of both labels every score is the share of label 1.
     """
     known = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", F.col("label").cast("long").alias("label"))
     n = known.count()
@@ -176,7 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score, n_passages) for every row of `docs` (doc_id, text); a null text counts as empty. Only the text is read."""
+    """(doc_id, score, n_passages) for every row of `docs` (doc_id, text). Only the text is read, whole and whatever its length.
+
+    A null text counts as empty; a text without words has one passage. Each row is scored by itself: equal texts have
+    equal scores, as repeated rows have. Other columns may have any names; an empty table gives no rows.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in byte_slices(batches):
