@@ -52,6 +52,7 @@ def test_query_against_brute_force(spark):
         assert set(pii.written(base).split(",")) - {""} <= set(spans) and r.n_added == len(spans) - len(base)
         known = [m.span() for m in re.finditer(r'AKIA[A-Z0-9]{16}|password=[0-9a-f]+|token = "[0-9a-f]+"', text)]
         added = [tuple(map(int, s.split(":")[1:])) for s in spans if s.startswith("secret")]
+        assert r.n_secret == len(added) and r.n_spans == len(spans)
         secrets += len(known)
         found += sum(any(a < d and c < b for c, d in added) for a, b in known)
         assert all(any(a < d and c < b for c, d in known) for a, b in added)  # nothing else is taken for a secret
@@ -68,6 +69,23 @@ def test_added_spans():
         assert find([clean.encode()])[0][2] == []
 
 
+def test_secrets_in_long_runs():
+    find = pii.finder(pii.default_model())
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    filler = ",".join(f'"field{i}":"value{i}"' for i in range(60))
+    link = "&".join(f"item{i}=thing{i}" for i in range(100))
+    texts = [f'{{{filler},"password":"{key}"}}', f"https://www.example.com/a?{link}&api_key={key}", f"{'x' * 1000}&token={key}", f"see {{{filler}}} password={key} and", "a" * 5000 + f" password={key}"]
+    for text in texts:
+        (_, _, spans), = find([text.encode()])
+        at = text.index(key)
+        assert any(a < at + 40 and at < b for a, b, k in spans if pii.KINDS[k] == "secret"), text[-80:]
+        assert key not in pii.redact(text, spans)
+    for clean in (f"{{{filler}}}", f"https://www.example.com/a?{link}", "x" * 3000, "-" * 3000, "=" * 500):
+        assert find([clean.encode()])[0][2] == [], clean[:50]
+    text = f"{filler} x" + "é" * 200 + "=" * 100
+    assert "".join(text[a:b] for a, b in pii.token_spans(text)) == text.replace(" ", "")
+
+
 def test_marginals_and_held_out_rows():
     model = pii.train(pii.labelled(7, 120))
     table = pii.labelled(11, 80)

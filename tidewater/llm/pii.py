@@ -26,7 +26,24 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+#: A token is a run without white space; of a longer run than LONG characters each part up to a delimiter, cut every LONG
+#: characters where there is none, so that all characters of a text are in some token's features.
+LONG = 64
+_RUN = re.compile(r"[^\x20\x09-\x0D]+")
+_PART = re.compile(rf"[^=&;,{{}}\"'<>|:?]{{1,{LONG}}}[=&;,{{}}\"'<>|:?]{{0,8}}|[=&;,{{}}\"'<>|:?]{{1,{LONG}}}")
+
+
+def tokens_of(text: str) -> list[str]:
+    found = _RUN.findall(text)
+    return found if max(map(len, found), default=0) <= LONG else [text[a:b] for a, b in token_spans(text)]
+
+
+def token_spans(text: str) -> list[tuple[int, int]]:
+    """Starts and ends of a text's tokens."""
+    spans = [m.span() for m in _RUN.finditer(text)]
+    if all(b - a <= LONG for a, b in spans):
+        return spans
+    return [part for a, b in spans for part in ([(a, b)] if b - a <= LONG else [m.span() for m in _PART.finditer(text, a, b)])]
 
 
 def luhn(digits: str) -> bool:
@@ -79,7 +96,7 @@ KNOWN_TOKENS = 200_000
 
 #: Code points to their class: letters to x or X, digits to 9. Beyond Latin, characters stand for themselves.
 _CLASS = {c: "9" if chr(c).isdigit() else "X" if chr(c).isupper() else "x" for c in range(0x250) if chr(c).isalnum()}
-_HEX = re.compile(r"(?:.*=)?[\"']?[0-9a-fA-F]{16,}[\"']?[.,;:!?]?\Z")
+_HEX = re.compile(r"(?:.*=)?[\"']?[0-9a-fA-F]{16,}[\"']?[.,;:!?&}|<>]*\Z")
 
 
 @lru_cache(100_000)
@@ -93,13 +110,12 @@ def _class_features(classes: str, length: int, hexes: bool) -> tuple[int, ...]:
 
 
 def features(token: str) -> list[int]:
-    """Hashed features of a token's shape (classes of its first 64 characters, runs cut to two), length, end and cue words.
+    """Hashed features of a token's shape (classes of its characters, runs cut to two), length, end and cue words.
 
     All but the cues depend on the classes alone, so that few kinds of tokens need work.
     """
-    long = len(token) >= 16
-    found = _class_features(token[:64].translate(_CLASS), min(len(token), 64), bool(long and _HEX.match(token[:256])))
-    cues = _CUE.findall(token[:256].lower())
+    found = _class_features(token.translate(_CLASS), len(token), bool(len(token) >= 16 and _HEX.match(token)))
+    cues = _CUE.findall(token.lower())
     return [*found, *(crc32(f"c{cue}".encode()) % BUCKETS for cue in set(cues))] if cues else list(found)
 
 
@@ -129,6 +145,23 @@ def labelled(seed: int = 7, rows: int = 400) -> list[tuple[list[str], list[str]]
         return rng.choice([["AKIA" + letters(16, rng.choice([upper, upper + "234567"]))], [f"password={token[:18]}"], ["token", "=", f'"{token}"'], [f'api_key="{token}"'], ["secret:", token], [f"sk-{token}"], [f"ghp_{letters(36, mixed)}"]])
 
     plain = [["version", "3."], ["Version", "2.0."], ["CC", "BY-NC", "4.0."], ["in", str(rng.randint(1900, 2030))], ["page", digits(2)], ["key", "words"], ["a", "token", "of"], ["the", "secret", "is"], [digits(3) + "."], ["5", "=", "2"], ["http://www.example.com/a?b=1"], [f"{digits(2)}.{digits(2)}.20{digits(2)}"], ["x" * 40], ["COVID-19"], ["iPhone"], ["$" + digits(3)], [digits(1) + "," + digits(3)]]
+
+    def cut_run() -> list[tuple[str, str]]:
+        """Parts of a long run without white space, as of a link or of data without blanks, with a secret or without."""
+        name = lambda: letters(rng.randint(2, 9), upper.lower())
+        value = lambda: rng.choice([name(), name(), digits(rng.randint(1, 6)), letters(rng.randint(10, 20), mixed[26:])])
+        link = rng.random() < 0.5
+        out = ["https:", f"//{name()}.example.com/{name()}/{name()}?"] if link else ['{"']
+        tags = ["none"] * len(out)
+        secret = rng.choice(["password", "token", "api_key", "secret", "passwd"]) if rng.random() < 0.6 else None
+        at, n = rng.randint(0, 3), rng.randint(4, 6)
+        for i in range(n):
+            key, own = (secret, True) if secret and i == at else (name(), False)
+            what = ("".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([18, 20, 32, 40, 64]))) if rng.random() < 0.6 else letters(rng.randint(20, 40), mixed)) if own else value()
+            out += [f"{key}=", f"{what}&"] if link else [f'{key}":"', what + ('","' if i < n - 1 else '"}')]
+            tags += ["none", "secret" if own else "none"]
+        return list(zip(out, tags, strict=True))
+
     table = []
     for _ in range(rows):
         tokens, tags = [], []
@@ -136,6 +169,11 @@ def labelled(seed: int = 7, rows: int = 400) -> list[tuple[list[str], list[str]]
             for _ in range(rng.randint(0, 6)):
                 tokens.append(word())
                 tags.append("none")
+            if rng.random() < 0.1 and len(tokens) < 12:
+                for token, tag in cut_run():
+                    tokens.append(token)
+                    tags.append(tag)
+                break
             kind = rng.choice([*KINDS, "none", "none", "none"])
             part = rng.choice(plain) if kind == "none" else data(kind)
             if kind != "none" and rng.random() < 0.2:
@@ -269,10 +307,9 @@ def added_spans(text: str, labels: np.ndarray, base: list[tuple[int, int, int]])
     fails a check by itself comes back. Outer punctuation goes.
     """
     runs: list[tuple[int, list[tuple[int, int]]]] = []
-    for m, label in zip(_TOKEN.finditer(text), labels, strict=True):
+    for (a, b), label in zip(token_spans(text), labels, strict=True):
         kind = int(label) - 1
         if kind >= 0:
-            a, b = m.span()
             if runs and runs[-1][0] == kind and text[runs[-1][1][-1][1] : a] in (" ", ""):
                 runs[-1][1].append((a, b))
             else:
@@ -283,7 +320,7 @@ def added_spans(text: str, labels: np.ndarray, base: list[tuple[int, int, int]])
         for options in ([whole], places):
             found = []
             for a, b in options:
-                body = text[a:b].rstrip(".,;:!?")
+                body = text[a:b].rstrip(".,;:!?&|<>{}" + ("\"'" if text[a] not in "\"'" and "=" not in text[a:b] else ""))
                 if _fits(body, kind) and not any(a < y and x < a + len(body) for x, y, _ in base):
                     found.append((a, a + len(body), kind))
             if found:
@@ -298,7 +335,7 @@ def finder(model: dict[str, np.ndarray]):
 
     def find(texts: list[bytes]) -> list[tuple[str, list, list]]:
         words = [t.decode("utf-8", "replace") for t in texts]
-        tokens = [_TOKEN.findall(t) for t in words]
+        tokens = [tokens_of(t) for t in words]
         labels = tagger.tag(tokens)
         hits = labels > 0
         out, at = [], 0
@@ -329,11 +366,13 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, table: list[tuple[list[str], list[str]]] | None = None) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, redacted) for every row of `docs` (doc_id, text).
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_secret, n_spans) for every row of `docs` (doc_id, text).
 
-    Counts and base_sha256 are of the patterns' spans; `spans` has the model's, too. Offsets are code points, ends
-    exclusive. Null texts count as empty. `table` (labelled() by default) trains the model on the driver; it is a table of
-    a few hundred short rows, whatever the corpus.
+    The first four counts and base_sha256 are of the patterns' spans; `spans` and `n_spans` have the model's, too: n_added
+    of them, n_secret of which are secrets. Offsets are code points, ends exclusive. Null and empty texts have none; a text
+    of any length is read whole; rows are read each by itself, so repeated rows have equal results. Spans that start
+    together are in the order of KINDS. Other columns are not read, whatever their names; an empty table gives no rows.
+    `table` (labelled() by default) trains the model on the driver; it has a few hundred short rows, whatever the corpus.
     """
     model, made = default_model() if table is None else train(table), []
 
@@ -345,17 +384,20 @@ def find_pii(docs: DataFrame, table: list[tuple[list[str], list[str]]] | None =
         out["base_sha256"] = [hashlib.sha256(written(base).encode()).hexdigest() for _, base, _ in found]
         out["spans"] = [written(spans) for _, _, spans in found]
         out["n_added"] = [len(spans) - len(base) for _, base, spans in found]
-        out["redacted"] = [redact(text, spans) if spans else None for text, _, spans in found]
+        out["n_secret"] = [sum(s[2] == KINDS.index("secret") for s in spans) for _, _, spans in found]
+        out["n_spans"] = [len(spans) for _, _, spans in found]
         return out
 
-    schema = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, redacted string"
+    schema = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long, n_spans long"
     return map_texts(docs, each, schema)
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
     """`docs` with each span of personal data replaced by its kind, and n_chars brought up to date where it is there.
 
-    A map over rows: no shuffle, and no row goes. A null text stays null. All other columns pass through as they are.
+    A map over rows: no shuffle, and no row goes. A null text stays null and an empty one empty; repeated rows are changed
+    alike; of overlapping spans the first gives the kind. All other columns pass through as they are, whatever their names.
+    An empty table gives an empty table.
     """
     model, made, redacted = default_model(), [], free_name(docs, "_redacted")
 

@@ -67,7 +67,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_pii(documents(spark, sf_dir)).drop("redacted")
+    return pii.find_pii(documents(spark, sf_dir))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
