@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import duckdb
 import pytest
@@ -23,13 +24,43 @@ def test_matches_sql(spark, name):
 def test_asof_nulls_ties_and_empty(spark):
     t = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
     schema = "k long, at timestamp, v long"
-    right = spark.createDataFrame([(1, t[1], 5), (1, t[1], 7), (1, None, 9), (None, t[0], 4)], schema)
-    left = spark.createDataFrame([(1, t[0], 0), (1, t[1], 1), (1, t[2], 2), (None, t[2], 3), (1, None, 4)], schema)
-    found = {r.v: r.got for r in asof_last(left, right, "k", "at", "v", "got").collect()}
-    assert found == {0: None, 1: 7, 2: 7, 3: None, 4: None}
-    assert asof_last(left.limit(0), right, "k", "at", "v", "got").count() == 0
+    right = spark.createDataFrame([(1, t[1], 5), (1, t[1], 7), (1, t[1], None), (1, None, 9), (None, t[0], 4), (2, t[0], 3), (2, t[1], None)], schema)
+    rows = [(1, t[0], 0), (1, t[1], 1), (1, t[2], 2), (None, t[2], 3), (1, None, 4), (2, t[0], 5), (2, t[2], 6), (3, t[2], 7)]
+    left = spark.createDataFrame([(*r, "x", "y") for r in rows], f"{schema}, side string, row string")
+    for slices in (None, 2, 5):
+        out = asof_last(left, right, "k", "at", "v", "got", slices)
+        assert out.columns == [*left.columns, "got"]
+        found = {r.v: r.got for r in out.collect()}
+        assert found == {0: None, 1: 7, 2: 7, 3: None, 4: None, 5: 3, 6: None, 7: None}
+        assert asof_last(left.limit(0), right, "k", "at", "v", "got", slices).count() == 0
+        assert asof_last(left, right.limit(0), "k", "at", "v", "got", slices).count() == 8
+
+
+def test_asof_slices_change_nothing(spark):
+    rng = random.Random(5)
+    rows = lambda n: [(rng.choice([1, 1, 1, 2, 3]), rng.randint(0, 300), i if rng.random() < 0.9 else None) for i in range(n)]
+    left, right = (spark.createDataFrame(rows(500), "k long, at int, v long") for _ in range(2))
+    want = sorted(map(repr, asof_last(left, right, "k", "at", "v", "got", 1).collect()))
+    assert sorted(map(repr, asof_last(left, right, "k", "at", "v", "got", 7).collect())) == want
+    brute = []
+    seen = [tuple(r) for r in right.collect()]
+    for k, at, v in map(tuple, left.collect()):
+        near = [(t, x is not None, x) for j, t, x in seen if j == k and t <= at]
+        brute.append(repr((k, at, v, max(near, key=lambda n: (n[0], n[1], n[2] or 0))[2] if near else None)))
+    assert sorted(repr(tuple(r)) for r in asof_last(left, right, "k", "at", "v", "got", 1).collect()) == sorted(brute)
 
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_survives_what_cannot_be_imported(monkeypatch):
+    def missing(name):
+        raise ImportError(name)
+
+    monkeypatch.setattr(__spark_entry__, "import_module", missing)
+    assert set(__spark_entry__.queries()) == set(wiring.QUERIES)
+    monkeypatch.setattr(__spark_entry__, "import_module", lambda name: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        __spark_entry__.queries()

@@ -2,24 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of one key that a window may hold; keys beyond it are cut into slices of `at`, up to SLICES.
+KEY_ROWS, SLICES = 1_000_000, 64
 
-def asof_last(left: DataFrame, right: DataFrame, by: str, at: str, value: str, alias: str) -> DataFrame:
+
+def asof_last(left: DataFrame, right: DataFrame, by: str, at: str, value: str, alias: str, slices: int | None = None) -> DataFrame:
     """`left` with the `value` of the latest `right` row of the same `by` whose `at` is not after its own.
 
-    Both sides go through one shuffle on `by` and one sort, instead of an inequality join. Rows of `left` without a
-    match get null; so do rows whose `by` or `at` is null, as an equality or an order with null never holds. Of right
-    rows with the same `by` and `at`, the one with the largest `value` counts, so results don't depend on row order.
+    Both sides go through one shuffle on `by` and one sort, instead of an inequality join. Where a key has over KEY_ROWS
+    rows, windows are cut into `slices` at quantiles of `at`, and what the slices before hold last is carried over, so a
+    busy key is spread over tasks. Rows of `left` without a match get null; so do rows whose `by` or `at` is null, as an
+    equality or an order with null never holds: they pass by the shuffle. The latest row counts even if its value is null.
+    Of right rows with the same `by` and `at`, the one with the largest `value` counts, and null only where there is no
+    other, so results don't depend on row order. `at` must be a number, date or timestamp; other columns of `left` may
+    have any names but `alias`.
     """
-    null = lambda column: F.lit(None).cast(right.schema[column].dataType)
-    rows = left.select("*", F.lit(1).alias("_side"), null(value).alias("_value"))
-    seen = right.where(F.col(by).isNotNull() & F.col(at).isNotNull() & F.col(value).isNotNull())
-    others = [F.lit(None).cast(f.dataType).alias(f.name) for f in left.schema if f.name not in (by, at)]
-    seen = seen.select(by, at, *others, F.lit(0).alias("_side"), F.col(value).alias("_value"))
-    window = Window.partitionBy(by).orderBy(F.col(at), F.col("_side"), F.col("_value"))
-    last: Column = F.last("_value", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("row")
     known = F.col(by).isNotNull() & F.col(at).isNotNull()
-    merged = rows.unionByName(seen).withColumn(alias, F.when(known, last))
-    return merged.where(F.col("_side") == 1).select(*left.columns, alias)
+    side = lambda n: F.lit(n).alias("side")
+    some = F.struct(F.col(value).isNotNull().alias("any"), F.col(value).alias("v")).alias("value")
+    rows = left.where(known).select(F.col(by).alias("by"), F.col(at).alias("at"), whole, F.lit(None).cast(_type_of(right, value)).alias("value"), side(1))
+    seen = right.where(known).select(F.col(by).alias("by"), F.col(at).alias("at"), F.lit(None).cast(left.select(whole).schema["row"].dataType).alias("row"), some, side(0))
+    merged = rows.unionByName(seen)
+    if slices is None:
+        busiest = merged.groupBy("by").count().agg(F.max("count")).first()[0] or 0
+        slices = min(SLICES, -(-busiest // KEY_ROWS)) or 1
+    order = [F.col("at"), F.col("side"), F.col("value")]
+    before = lambda window, last: window.rowsBetween(Window.unboundedPreceding, last)
+    if slices == 1:
+        last = F.last("value", ignorenulls=True).over(before(Window.partitionBy("by").orderBy(*order), 0))
+        found = merged.withColumn("found", last)
+    else:
+        cuts = merged.agg(F.percentile_approx("at", [i / slices for i in range(1, slices)]).cast("array<string>")).first()[0] or []
+        bounds = F.array(*(F.lit(c) for c in cuts)).cast(f"array<{merged.schema['at'].dataType.simpleString()}>")
+        merged = merged.withColumn("slice", F.size(F.filter(bounds, lambda b: b <= F.col("at"))))
+        last = F.last("value", ignorenulls=True).over(before(Window.partitionBy("by", "slice").orderBy(*order), 0))
+        ends = merged.groupBy("by", "slice").agg(F.max(F.when(F.col("side") == 0, F.struct("at", "value"))).alias("end"))
+        carried = F.last("end", ignorenulls=True).over(before(Window.partitionBy("by").orderBy("slice"), -1))  # a row for each slice
+        found = merged.withColumn("last", last).join(ends.select("by", "slice", carried.alias("end")), ["by", "slice"])
+        found = found.withColumn("found", F.coalesce("last", "end.value"))
+    joined = found.where("side = 1").select("row.*", F.col("found.v").alias(alias))
+    return joined.unionByName(left.where(~known).select("*", F.lit(None).cast(right.schema[value].dataType).alias(alias)))
+
+
+def _type_of(right: DataFrame, value: str) -> str:
+    return f"struct<any: boolean, v: {right.schema[value].dataType.simpleString()}>"
