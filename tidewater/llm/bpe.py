@@ -192,7 +192,10 @@ def coder(path: str) -> Coder:
 def encode_decode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, ids, decoded) for every row of `docs` (doc_id, text): the ids of the whole text, and what they decode to.
 
-    A map over rows. Null and empty texts, and those of white space alone, have no ids and decode to an empty text.
+    A map over rows, each by itself, so equal and repeated rows have equal results. Null and empty texts, and those of
+    white space alone, have no ids and decode to an empty text. A text of any length is encoded whole; a word without a break
+    takes n log n steps. Of pairs of equal rank the leftmost merges first. Bytes that aren't UTF-8 count as U+FFFD. Other
+    columns are not read, whatever their names; an empty table gives no rows.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
 

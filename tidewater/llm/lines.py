@@ -146,10 +146,10 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int
     A document is a doc_id: repeated rows and rows of one doc_id count once, and so do rows without a doc_id whose texts are
     equal. Each row is cut by itself. Lines of white space alone have no key and always stay. Null or empty texts are one
     empty line and stay as they are. Long texts are taken whole; bytes that aren't UTF-8 stay in texts that lose no line,
-    and become U+FFFD in others. Rows keep their other columns, whatever their names (those of `counts` excepted); none is
-    dropped. An empty table gives an empty table.
+    and become U+FFFD in others. Rows keep their other columns, whatever their names, but for those named as `counts`, which
+    give way to them; no row is dropped. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.drop(*counts)
     owner, dropped = free_name(docs, "_owner"), free_name(docs, "_drops")
     cut = docs.select(_owner().alias("owner"), "text").withColumn("batch", F.pmod(F.xxhash64("owner"), F.lit(batches)))
     keys = stored(cut.mapInArrow(_keys, "owner long, key binary, batch long"), "line-keys", "batch")

@@ -257,8 +257,11 @@ def judge(docs: DataFrame, char_limit: tuple[float, float] = CHAR_LIMIT, word_li
 
     A text's distance is the least to any language's reference. A row whose own `lang` has no reference (null, or too few
     texts to learn one) is left unjudged by it, as is one below the guards: its distance is null and only the base rule
-    holds. A null text has no words, so it fails the base rule. The registered SQL knows the languages of COMMON alone, and
-    judges rows of any `lang` by those.
+    holds. A null or empty text has no words, so it fails the base rule; a text of any length is judged whole. Each row is
+    judged by itself, so repeated rows and rows of one or no doc_id have their own verdicts, alike for equal rows; all of
+    them count in the references. A distance equal to the limit is within it. Other columns are not read, whatever their
+    names; an empty table gives no rows. The registered SQL knows the languages of COMMON alone, and judges rows of any
+    `lang` by those.
     """
     known_words = vocabulary(docs)
     profiles = stored(map_texts(docs, partial(profile, vocabulary=known_words), f"{BASE}, chars binary, common binary", ("doc_id", "lang")), "profiles")
@@ -278,7 +281,9 @@ def judge(docs: DataFrame, char_limit: tuple[float, float] = CHAR_LIMIT, word_li
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """`docs` without the rows that judge() rejects. Each row is judged by itself, whatever its doc_id and the rows beside it.
 
-    Texts are read twice, for the references and for the verdicts; no text is shuffled or stored.
+    Texts are read twice, for the references and for the verdicts; no text is shuffled or stored. Null and empty texts go,
+    as they fail the base rule; of repeated rows all stay or all go. All columns pass as they are, whatever their names; an
+    empty table gives an empty table.
     """
     known_words = vocabulary(docs)
     known = references(map_texts(docs, partial(profile, vocabulary=known_words), f"{BASE}, chars binary, common binary", ("lang",)), known_words)

@@ -50,7 +50,7 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id",
         "n_chars",
-        F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint.as_text("fp").alias("fingerprint"),
         fingerprint.as_text("edited_fp").alias("edited_fingerprint"),
         "near_edited",
@@ -71,7 +71,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
     found = bpe.encode_decode(documents(spark, sf_dir))
     written = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(written).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
@@ -79,7 +79,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lines.drop_frequent_lines(documents(spark, sf_dir).select("doc_id", "text"))
-    kept = F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)
+    kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
     return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
 
 

@@ -128,8 +128,10 @@ def _rooted(distinct: DataFrame, group: int = GROUP, levels: tuple[int, ...] = L
 def near_duplicates(docs: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs` (doc_id, text): component_id is the smallest doc_id reachable.
 
-    Rows whose texts are empty or null have fingerprint 0 and link like any other. Repeated rows stay. A null doc_id
-    never is the smallest unless its whole component has no other. Of exact copies one fingerprint goes on.
+    Rows whose texts are empty or null have fingerprint 0 and link like any other. Repeated rows stay, each with the same
+    component. A null doc_id never is the smallest unless its whole component has no other. Of exact copies one fingerprint
+    goes on. A bit that half of the hashes have is 0. Texts are taken whole, whatever their length. Other columns are not
+    read, whatever their names; an empty table gives no rows.
     """
     marked = stored(fingerprints(docs), "fingerprints")
     rooted = stored(_rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), group, levels), "rooted")
@@ -141,7 +143,9 @@ def near_duplicates(docs: DataFrame, group: int = GROUP, levels: tuple[int, ...]
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each component: that with the smallest doc_id, nulls last, then by a hash of the text, then any.
 
-    Rows are written with a number of their own first, so that repeated rows and rows without a doc_id are told apart.
+    Rows are written with a number of their own first, so that repeated rows and rows without a doc_id are told apart. Null
+    and empty texts make up a component like any other. All columns pass as they are, whatever their names; an empty table
+    gives an empty table.
     """
     row = free_name(docs, "row")
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
