@@ -1,4 +1,8 @@
-"""The corpus pipeline: rules, line dedup, near-dedup, personal data, packing. Part of subpackage llm."""
+"""The corpus pipeline: rules, line dedup, near-dedup, personal data, packing. Part of subpackage llm.
+
+Every stage takes null and repeated doc_ids, null, empty and very long texts, extra columns of any names, and empty tables;
+what they give is stated with the operators that they call.
+"""
 
 from __future__ import annotations
 
