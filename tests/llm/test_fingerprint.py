@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from tidewater.llm import fingerprint, queries
 
 SF = "/root/testdata/sf0.001"
@@ -60,6 +62,15 @@ def test_groups_are_even_however_ids_lie(spark, monkeypatch):
         assert [g for _, _, g in rows] == sorted(g for _, _, g in rows)
 
 
+@pytest.mark.parametrize("rows", [0, 300])
+def test_any_cuts_give_the_same_result(spark, monkeypatch, rows):
+    docs = spark.createDataFrame([(i * 7919 % 3001, f"some text of {i % 50} and {i} words") for i in range(2000)], "doc_id long, text string")
+    want = sorted(map(repr, fingerprint.compare_with_edit(docs).drop("fp", "edited_fp").collect()))
+    monkeypatch.setattr(fingerprint, "GROUP_ROWS", 5)
+    monkeypatch.setattr(fingerprint, "CUT_ROWS", rows)
+    assert sorted(map(repr, fingerprint.compare_with_edit(docs).drop("fp", "edited_fp").collect())) == want
+
+
 def test_texts_without_words_are_unlike_all_others(spark):
     docs = spark.createDataFrame([(1, ""), (2, "a b c d e f"), (3, " \n"), (4, None)], "doc_id long, text string")
     got = {r.doc_id: r.near_next for r in fingerprint.compare_with_edit(docs).collect()}

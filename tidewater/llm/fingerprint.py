@@ -16,6 +16,8 @@ BINS, BITS = 256, 4
 TRIES = 4
 #: Documents that stand together when each meets the next; coarse ranges of ids, and most groups in each.
 GROUP_ROWS, RANGES, FINE = 128, 200, 200
+#: Rows whose ids tell where to cut, about, drawn by a hash; the cuts only even out groups, so any draw gives the same result.
+CUT_ROWS = 1_000_000
 
 _OPEN = (1 << 56) - 1  # the bits below the bin; all set: no hash fell into the bin
 
@@ -90,13 +92,16 @@ def grouped(docs: DataFrame) -> DataFrame:
     """
     frame = docs.select("*", F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("_place"), F.shiftrightunsigned(F.xxhash64("text"), 11).alias("_tie"))
     shares = lambda n: [i / n for i in range(n + 1)]
-    seen = frame.agg(F.percentile_approx("_place", shares(RANGES)).alias("at"), F.count("*").alias("n")).first()
-    fine = min(FINE, max(1, round(seen.n / RANGES / GROUP_ROWS)))
+    n = docs.select().count()
+    fine = min(FINE, max(1, round(n / RANGES / GROUP_ROWS)))
+    drawn = F.pmod(F.xxhash64("_place", "_tie"), F.lit(1_000_003)) < 1_000_003 * CUT_ROWS / max(1, n)
+    seen = frame.where(drawn).agg(F.percentile_approx("_place", shares(RANGES)).alias("at")).first()
     bounds, share = _at(F.array(*(F.lit(x).cast("long") for x in seen.at or [0])), "_place", "_share")
     frame = frame.withColumn("_share", F.col("_tie") / float(1 << 53)).withColumns({"_range": bounds, "_part": share})
-    cuts = F.broadcast(frame.groupBy("_range").agg(F.percentile_approx("_place", shares(fine)[:-1]).alias("_cuts")))  # RANGES times FINE numbers
-    group, _ = _at(F.col("_cuts"), "_place", "_part")
-    return frame.join(cuts, "_range").select(*docs.columns, "_place", "_tie", "_range", (F.col("_range") * (FINE + 1) + group).alias("_group"))
+    cuts = frame.where(drawn).groupBy("_range").agg(F.percentile_approx("_place", shares(fine)[:-1]).alias("_cuts"))
+    cuts = F.broadcast(cuts)  # RANGES times FINE numbers; a range of which no row is drawn is one group
+    group, _ = _at(F.coalesce("_cuts", F.array().cast("array<bigint>")), "_place", "_part")
+    return frame.join(cuts, "_range", "left").select(*docs.columns, "_place", "_tie", "_range", (F.col("_range") * (FINE + 1) + group).alias("_group"))
 
 
 def with_next(docs: DataFrame, derive: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
