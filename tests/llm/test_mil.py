@@ -100,12 +100,12 @@ def test_query_against_brute_force(spark, tmp_path):
         rows.append((i, " ".join(words)))
         labels += [(i, int(good), 0)] if i % 4 else []
     rows += [(60, None), (61, ""), (62, "Ä Ö ÉÉ 漢字 " * 2000)]
-    labels += [(62, 1, 0), (5, None, 0), (None, 1, 0)]
+    labels += [(62, 1, 0), (5, None, 0), (None, 1, 0), (1, 0, 0), (1, 1, 0)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.doc_id: r for r in queries.op6_quality(spark, str(tmp_path)).collect()}
     bags = {d: brute_bag(t) for d, t in rows}
-    label = {d: q for d, q, _ in labels if d is not None and q is not None}
+    label = {d: max(p for i, p, _ in labels if i == d and p is not None) for d, q, _ in labels if d is not None and q is not None}
     held = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 5 == 0}
     fit = sorted(label.keys() - held)
     parts = [bags[d][np.unique(np.linspace(0, len(bags[d]) - 1, min(64, len(bags[d]))).astype(int))] for d in fit]
@@ -135,6 +135,10 @@ def test_edges(spark):
     rows = [(1, None), (2, ""), (None, "x"), (3, "long " * 100_000), (3, "long " * 100_000)]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, score int")
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, label int")
+    twice = spark.createDataFrame([(2, 1), (2, 0), (3, 0)] * 20, "doc_id long, label int")
+    once = spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, label int")
+    fits = [mil.fit(d, x).weights for d, x in ((docs, twice), (docs.dropDuplicates(), once))]
+    assert all(np.array_equal(fits[0][k], fits[1][k]) for k in fits[0])
     model = mil.fit(docs, none)
     got = mil.score(docs, model).collect()
     assert sorted(r.n_passages for r in got) == [1, 1, 1, 1563, 1563] and all(r.score == 0.5 for r in got)

@@ -164,14 +164,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     Rows are drawn by a hash of their ids. Only features of passages of these texts reach the driver: of a text of up to
     FIT_PASSAGES passages all, of a longer one as many, evenly spaced. Null labels and ids count as none; a null text is
-    empty; repeated rows count as often as they stand. Without texts of both labels every score is the share of label 1.
+    empty. A doc_id teaches once, however often it stands in either table: by the greatest of its labels, and by that of
+    its texts whose features come first. Without texts of both labels every score is the share of label 1.
     """
-    known = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").select("doc_id", F.col("label").cast("long").alias("label"))
+    known = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("label").cast("long")).alias("label"))
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
     taken = known.where(draw < min(1.0, sample / max(1, n)))
     joined = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
-    rows = sorted(joined.mapInArrow(_encoded, "doc_id long, label long, x binary").collect())
+    encoded = joined.mapInArrow(_encoded, "doc_id long, label long, x binary")
+    rows = sorted(encoded.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("x").alias("x")).collect())
     parts = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in rows]
     x = np.concatenate(parts) if parts else np.zeros((0, N_FEATURES), np.float32)
     return train(x, np.array([len(p) for p in parts], np.int64), np.array([r.label for r in rows], float))
