@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, fingerprint, langid, licenses, lines, mil, packing, pii, quality_rules, simhash
+from tidewater.llm import bpe, fingerprint, langid, licenses, lines, mil, packing, pii, quality_rules, simhash, vector_codes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,12 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), kept.alias("kept_sha256"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    found = vector_codes.with_label_error(coded)
+    return found.select(F.col("id").alias("vec_id"), F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_language": op2_language,
@@ -94,6 +100,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
+    "op11_vector_codes": op11_vector_codes,
     "conversation_packing": conversation_packing,
 }
 
@@ -110,7 +117,35 @@ _COUNTS = ", ".join("len(regexp_extract_all(t, '{}')) as c_{}".format(c.replace(
 #: Base 2; the sums of each class or word, nothing for those that one side lacks.
 _JSD = "sqrt(greatest(0, sum((case when p > 0 then p * log2(2 * p / (p + q)) else 0 end + case when q > 0 then q * log2(2 * q / (p + q)) else 0 end) / 2)))"
 
+
+def _vector_codes_sql() -> str:
+    """A pair of tables for each round: the nearest entry of each part, and the entries moved."""
+    steps = [
+        f"""kept as materialized (
+            select row_number() over (order by vec_id, embedding) as r, vec_id, label, list_transform(embedding, lambda x: cast(floor({vector_codes.SCALE} * cast(x as double)) as bigint)) as v
+            from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        part as materialized (
+            select r, p, v[p * (len(v) // {vector_codes.PARTS}) + 1 : (p + 1) * (len(v) // {vector_codes.PARTS})] as x from kept, range({vector_codes.PARTS}) t(p)),
+        book0 as materialized (select p, r - 1 as e, x as y from part where r <= {vector_codes.ENTRIES})"""
+    ]
+    for k in range(vector_codes.ROUNDS + 1):
+        steps.append(f"""near{k} as materialized (
+            select r, p, min({{'d': cast(list_sum(list_transform(list_zip(x, y), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as bigint), 'e': e}}) as hit
+            from part join book{k} using (p) group by r, p)""")
+        if k < vector_codes.ROUNDS:
+            steps.append(f"""book{k + 1} as materialized (
+                with piece as (select p, hit.e as e, unnest(x) as x, generate_subscripts(x, 1) as i from part join near{k} using (r, p)),
+                mean as (select p, e, i, cast(floor(sum(x) / count(*)) as bigint) as m from piece group by p, e, i),
+                moved as (select p, e, list(m order by i) as y from mean group by p, e)
+                select p, e, coalesce(m.y, b.y) as y from book{k} b left join moved m using (p, e))""")
+    return f"""with {", ".join(steps)},
+        books as (select sha256(string_agg(array_to_string(y, ','), ',' order by p, e)) as codebooks_sha256 from book{vector_codes.ROUNDS}),
+        coded as (select r, string_agg(printf('%02x', hit.e), '' order by p) as code, cast(sum(hit.d) as bigint) as error from near{vector_codes.ROUNDS} group by r)
+        select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from kept join coded using (r), books"""
+
+
 ORACLE: dict[str, str] = {
+    "op11_vector_codes": _vector_codes_sql(),
     "op3_quality_rules": f"""
         with doc as (select doc_id, lang, coalesce(text, '') as t from documents),
         split as (select doc_id, lang, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as ws, {_COUNTS} from doc),
