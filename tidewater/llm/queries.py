@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, fingerprint, langid, licenses, lines, mil, packing, pii, quality_rules, simhash, vector_codes
+from tidewater.llm import bpe, fingerprint, langid, licenses, lines, manifest, mil, packing, pii, quality_rules, simhash, vector_codes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +89,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = manifest.manifest(manifest.leaf_digests(documents(spark, sf_dir)))
+    found = found.withColumn("folded_root", manifest.folded(F.coalesce("edited_leaf", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_language": op2_language,
@@ -101,6 +107,7 @@ QUERIES = {
     "op9_lines": op9_lines,
     "op10_simhash": op10_simhash,
     "op11_vector_codes": op11_vector_codes,
+    "op12_manifest": op12_manifest,
     "conversation_packing": conversation_packing,
 }
 
@@ -144,7 +151,43 @@ def _vector_codes_sql() -> str:
         select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from kept join coded using (r), books"""
 
 
+def _manifest_sql(leaf_levels: int = 8, group_levels: int = 4) -> str:
+    """Levels one by one, for up to 8 ** 8 rows of a language and 8 ** 4 languages; a tree that is done stays as it is."""
+    field = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
+    hashed = lambda text: f"sha256({' || '.join([*map(field, ('doc_id', 'source', 'lang', 'n_chars')), field(text)])})"
+    crc = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(cast(doc_id as varchar), ''), lambda c: ascii(c))), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"
+    steps = [
+        f"""leaf as materialized (select row_number() over () as r, doc_id, lang, {hashed('text')} as leaf,
+                case when ({crc}) % 3 = 0 then {hashed(_LOWER.format('text'))} else {hashed('text')} end as edited from documents)""",
+        "n0 as materialized (select r, coalesce('=' || lang, '') as g, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, leaf as h from leaf)",
+    ]
+    # n: nodes; w: each row's node with its siblings.
+    for k in range(leaf_levels):
+        many = "count(*) over (partition by g) > 1"
+        steps.append(f"""m{k} as materialized (select g, i, h, i // 8 as up, {many} as many from n{k})""")
+        steps.append(f"""s{k} as materialized (select g, i, many, coalesce(string_agg(h, '' order by i) over (partition by g, up order by i rows between unbounded preceding and 1 preceding), '') as l,
+                coalesce(string_agg(h, '' order by i) over (partition by g, up order by i rows between 1 following and unbounded following), '') as r from m{k})""")
+        steps.append(f"n{k + 1} as materialized (select g, up as i, case when any_value(many) then sha256(string_agg(h, '' order by i)) else any_value(h) end as h from m{k} group by g, up)")
+    steps.append(f"t0 as materialized (select '' as g, row_number() over (order by g) - 1 as i, h, g as lang from n{leaf_levels})")
+    for k in range(group_levels):
+        steps.append(f"tm{k} as materialized (select i, h, i // 8 as up, count(*) over () > 1 as many from t{k})")
+        steps.append(f"""ts{k} as materialized (select i, many, coalesce(string_agg(h, '' order by i) over (partition by up order by i rows between unbounded preceding and 1 preceding), '') as l,
+                coalesce(string_agg(h, '' order by i) over (partition by up order by i rows between 1 following and unbounded following), '') as r from tm{k})""")
+        steps.append(f"t{k + 1} as materialized (select up as i, case when any_value(many) then sha256(string_agg(h, '' order by i)) else any_value(h) end as h from tm{k} group by up)")
+    fold = "case when s.many then sha256(s.l || f || s.r) else f end as f, case when s.many then proof || s.l || s.r else proof end as proof"
+    steps.append("f0 as materialized (select n0.r, n0.g, n0.i, edited as f, '' as proof, t0.h as subroot, t0.i as ti from n0 join leaf using (r) join t0 on t0.lang = n0.g)")
+    for k in range(leaf_levels):
+        steps.append(f"f{k + 1} as materialized (select f{k}.r, f{k}.g, f{k}.i // 8 as i, {fold}, subroot, ti from f{k} join s{k} s on s.g = f{k}.g and s.i = f{k}.i)")
+    steps.append(f"g0 as materialized (select r, ti as i, f, proof, subroot from f{leaf_levels})")
+    for k in range(group_levels):
+        steps.append(f"g{k + 1} as materialized (select g{k}.r, g{k}.i // 8 as i, {fold}, subroot from g{k} join ts{k} s on s.i = g{k}.i)")
+    return f"""with {", ".join(steps)}
+        select doc_id, leaf, subroot, h as root, sha256(proof) as proof_sha256, f as folded_root, f = h as verified
+        from leaf join g{group_levels} using (r), t{group_levels}"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_manifest": _manifest_sql(),
     "op11_vector_codes": _vector_codes_sql(),
     "op3_quality_rules": f"""
         with doc as (select doc_id, lang, coalesce(text, '') as t from documents),
