@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidewater.llm import bpe, fingerprint, langid, licenses, lines, mil, packing, pii, quality_rules, simhash
+from tidewater.llm import bpe, fingerprint, langid, licenses, lines, manifest, mil, packing, pii, quality_rules, secret_scan, simhash
 
 #: Names that operators use inside.
 OWN = "_row _owner _drops _n_lines _n_dropped _redacted _words _h5 _bands _hits _place _tie _group _last row key fp owner batch kept score ids slice".split()
@@ -20,6 +20,8 @@ OPERATORS = {
     "pii": pii.find_pii,
     "bpe": bpe.encode_decode,
     "lines": lines.drop_frequent_lines,
+    "secret_scan": secret_scan.find_secrets,
+    "manifest": lambda docs: manifest.manifest(manifest.leaf_digests(docs)),
     "simhash": simhash.near_duplicates,
 } | {f"stage {name}": lambda docs, f=stage: f(docs.sparkSession, docs, "") for name, stage in corpus_pipeline.STAGES}
 #: Those that give other rows than one for each of theirs.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import bpe, fingerprint, langid, licenses, lines, manifest, mil, packing, pii, quality_rules, simhash, vector_codes
+from tidewater.llm import bpe, fingerprint, langid, licenses, lines, manifest, mil, packing, pii, quality_rules, secret_scan, simhash, vector_codes
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,10 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.find_secrets(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_language": op2_language,
@@ -108,6 +112,7 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_vector_codes": op11_vector_codes,
     "op12_manifest": op12_manifest,
+    "op13_secrets": op13_secrets,
     "conversation_packing": conversation_packing,
 }
 
