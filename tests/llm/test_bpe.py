@@ -26,6 +26,16 @@ def test_against_the_library():
         assert decoded.decode() == library.decode(want, skip_special_tokens=False), text
 
 
+def test_every_code_point():
+    """Between letters and alone: Python's tables of characters are of another year than the library's."""
+    coder, library = bpe.Coder(), Tokenizer.from_file(bpe.VOCABULARY)
+    texts = [f"a{c}b {c}" for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    for i in range(0, len(texts), 50_000):
+        part = texts[i : i + 50_000]
+        for text, found in zip(part, library.encode_batch(part, add_special_tokens=False), strict=True):
+            assert coder.encode(text) == found.ids, ascii(text)
+
+
 def test_round_trip():
     coder = bpe.Coder()
     for text in ("the quick brown fox", "naïve café 7 漢字", "a b"):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -13,6 +14,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from tidewater.llm.shared import byte_slices
 
@@ -23,6 +25,20 @@ KNOWN, KNOWN_BYTES = 250_000, 64
 _NONE = 1 << 62
 
 
+@cache
+def _unassigned() -> re.Pattern:
+    """Code points that Python's tables of characters don't know: the vocabulary's own may be of another year."""
+    spans, start = [], None
+    for c in range(0x110001):
+        unknown = c <= 0x10FFFF and unicodedata.category(chr(c)) == "Cn"
+        if unknown and start is None:
+            start = c
+        elif not unknown and start is not None:
+            spans.append(f"\\U{start:08x}-\\U{c - 1:08x}")
+            start = None
+    return re.compile(f"[{''.join(spans)}]")
+
+
 def merged(symbols: list[int], ranks: dict[int, tuple[int, int]]) -> list[int]:
     """The symbols after all merges; `ranks` has for each pair, as first << 20 | second, its rank << 32 and its result.
 
@@ -91,6 +107,7 @@ class Coder:
     END = "</w>"
 
     def __init__(self, path: str = VOCABULARY):
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         vocabulary = data["model"]["vocab"]
@@ -125,6 +142,15 @@ class Coder:
             self.pieces[piece] = found
         return found
 
+    def _by_library(self, part: str) -> list[int]:
+        """Ids of a part with code points that only the library knows: it normalizes and cuts, the tree merges."""
+        if self.library is None:
+            self.library = Tokenizer.from_file(self.path)
+        ids: list[int] = []
+        for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part)):
+            ids += self._piece(bytes(self.byte_of[c] for c in piece).decode())
+        return ids
+
     def encode(self, text: str) -> list[int]:
         """Ids of a text. The special tokens' own text becomes their ids, before anything else is done to it."""
         ids: list[int] = []
@@ -132,6 +158,9 @@ class Coder:
             if part in self.special:
                 ids.append(self.special[part])
                 continue
+            if not part.isascii() and _unassigned().search(part):
+                ids += self._by_library(part)
+                continue
             plain = unicodedata.normalize("NFC", part)
             # Character by character where it matters: a sigma at a word's end is no special case here.
             plain = "".join(c.lower() for c in plain) if "Σ" in plain else plain.lower()
