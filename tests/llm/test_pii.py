@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from tidewater.llm import pii, queries
@@ -86,6 +87,21 @@ def test_secrets_in_long_runs():
     assert "".join(text[a:b] for a, b in pii.token_spans(text)) == text.replace(" ", "")
 
 
+def test_secrets_of_letters_alone():
+    """Nothing but the field tells them: no digit, and no known beginning."""
+    find, rng = pii.finder(pii.default_model()), random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for of in (letters, letters.upper(), letters + letters.upper()):
+        for form in ("password={}", 'token = "{}"', 'api_key="{}"', "passwd={}"):
+            keys = ["".join(rng.choice(of) for _ in range(rng.randint(12, 32))) for _ in range(100)]
+            texts = [f"Enwor thes ineret, {form.format(k)} eonhe anthe." for k in keys]
+            found = [any(a <= t.index(k) and t.index(k) + len(k) <= b for a, b, kind in spans if pii.KINDS[kind] == "secret") for (_, _, spans), t, k in zip(find([t.encode() for t in texts]), texts, keys, strict=True)]
+            assert sum(found) >= 95, (form, of)
+            assert not any(k in pii.redact(t, find([t.encode()])[0][2]) for k, t, hit in zip(keys, texts, found, strict=True) if hit)
+    for clean in ("The secret is thanonontioniner.", "a token of hainghethesthing", "DIE SCHLUESSELWOERTER KEY WORDS", "my password was changed yesterday evening"):
+        assert find([clean.encode()])[0][2] == [], clean
+
+
 def test_marginals_and_held_out_rows():
     model = pii.train(pii.labelled(7, 120))
     table = pii.labelled(11, 80)

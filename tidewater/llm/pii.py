@@ -88,8 +88,9 @@ BUCKETS, STEPS, RATE, DECAY = 4096, 100, 0.1, 2e-3
 #: Words that name what follows them.
 CUES = ("password", "passwd", "pwd", "token", "secret", "key", "api", "tel", "phone", "fax", "call", "mail", "card", "version", "akia")
 _CUE = re.compile("|".join(CUES))
-# How well-known kinds of access keys begin; such a key may lack digits.
-KEYS = ("AKIA", "ASIA", "ghp_", "sk-")
+#: A word for a secret with a sign that gives it a value, and the value if it is in the same token.
+_GIVES = re.compile(r"(?:password|passwd|pwd|token|secret|key)[\"']?[:=][\"']?(.*)", re.DOTALL)
+_SECRET_CUES = {"password", "passwd", "pwd", "token", "secret", "key"}
 #: Tokens kept with their features in each task.
 KNOWN_TOKENS = 200_000
 
@@ -110,13 +111,18 @@ def _class_features(classes: str, length: int, hexes: bool) -> tuple[int, ...]:
 
 
 def features(token: str) -> list[int]:
-    """Hashed features of a token's shape (classes of its characters, runs cut to two), length, end and cue words.
+    """Hashed features of a token's shape (classes of its characters, runs cut to two), length, end, quote and cue words.
 
-    All but the cues depend on the classes alone, so that few kinds of tokens need work.
+    All but the last two depend on the classes alone, so that few kinds of tokens need work.
     """
     found = _class_features(token.translate(_CLASS), len(token), bool(len(token) >= 16 and _HEX.match(token)))
-    cues = _CUE.findall(token.lower())
-    return [*found, *(crc32(f"c{cue}".encode()) % BUCKETS for cue in set(cues))] if cues else list(found)
+    marks = ["q"] if token[:1] in "\"'" else []
+    if cues := set(_CUE.findall(lower := token.lower())):
+        marks += [f"c{cue}" for cue in cues]
+        if cues & _SECRET_CUES:
+            gives = _GIVES.search(lower)
+            marks.append("names" if not gives else "opens" if len(gives[1]) < 6 else "gives")
+    return [*found, *(crc32(m.encode()) % BUCKETS for m in marks)] if marks else list(found)
 
 
 def labelled(seed: int = 7, rows: int = 400) -> list[tuple[list[str], list[str]]]:
@@ -128,7 +134,7 @@ def labelled(seed: int = 7, rows: int = 400) -> list[tuple[list[str], list[str]]
     mixed = upper + upper.lower() + "0123456789"
 
     def word() -> str:
-        w = letters(rng.randint(1, 14))
+        w = letters(rng.choice([rng.randint(1, 14)] * 9 + [rng.randint(15, 26)]))
         w = rng.choice([w] * 8 + [w.capitalize()] * 2 + [w.upper(), w.upper() + "!!", w + "***", w + "$$$", w + "%%%", w + "&&&", "|"])
         return w + rng.choice([""] * 8 + [".", ",", "?", ":"])
 
@@ -142,9 +148,11 @@ def labelled(seed: int = 7, rows: int = 400) -> list[tuple[list[str], list[str]]
         if kind == "phone":
             return rng.choice([["+1", f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"({digits(3)})", f"{digits(3)}-{digits(4)}"], [f"+{digits(2)}", digits(3), digits(7)], [f"{digits(3)}-{digits(3)}-{digits(4)}"]])
         token = rng.choice(["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([18, 20, 32, 40, 64]))), letters(rng.randint(20, 40), mixed)])
-        return rng.choice([["AKIA" + letters(16, rng.choice([upper, upper + "234567"]))], [f"password={token[:18]}"], ["token", "=", f'"{token}"'], [f'api_key="{token}"'], ["secret:", token], [f"sk-{token}"], [f"ghp_{letters(36, mixed)}"]])
+        if rng.random() < 0.5:  # of letters alone
+            token = letters(rng.choice([rng.randint(8, 16), rng.randint(8, 40)]), rng.choice([upper, upper.lower(), upper + upper.lower()]))
+        return rng.choice([["AKIA" + letters(16, rng.choice([upper, upper + "234567"]))], [f"{rng.choice(CUES[:5])}={token[: rng.choice([10, 18, 40])]}"], [rng.choice(["token", "Token", "password", "secret"]), "=", f'"{token}"'], [f'api_key="{token}"'], [rng.choice(["secret:", "password:", "token:"]), token], [f"sk-{token}"], [f"ghp_{letters(36, mixed)}"]])
 
-    plain = [["version", "3."], ["Version", "2.0."], ["CC", "BY-NC", "4.0."], ["in", str(rng.randint(1900, 2030))], ["page", digits(2)], ["key", "words"], ["a", "token", "of"], ["the", "secret", "is"], [digits(3) + "."], ["5", "=", "2"], ["http://www.example.com/a?b=1"], [f"{digits(2)}.{digits(2)}.20{digits(2)}"], ["x" * 40], ["COVID-19"], ["iPhone"], ["$" + digits(3)], [digits(1) + "," + digits(3)]]
+    plain = [["version", "3."], ["Version", "2.0."], ["CC", "BY-NC", "4.0."], ["in", str(rng.randint(1900, 2030))], ["page", digits(2)], ["key", "words"], ["a", "token", "of"], ["the", "secret", "is"], ["password", word(), word()], ["token", word(), word()], ["the", "secret", letters(16)], ["a", "key", letters(18)], ["tokens", "and", letters(14)], ["key", "=", letters(3)], [letters(24)], [letters(20).upper()], [digits(3) + "."], ["5", "=", "2"], ["http://www.example.com/a?b=1"], [f"{digits(2)}.{digits(2)}.20{digits(2)}"], ["x" * 40], ["COVID-19"], ["iPhone"], ["$" + digits(3)], [digits(1) + "," + digits(3)]]
 
     def cut_run() -> list[tuple[str, str]]:
         """Parts of a long run without white space, as of a link or of data without blanks, with a secret or without."""
@@ -174,7 +182,7 @@ def labelled(seed: int = 7, rows: int = 400) -> list[tuple[list[str], list[str]]
                     tokens.append(token)
                     tags.append(tag)
                 break
-            kind = rng.choice([*KINDS, "none", "none", "none"])
+            kind = rng.choice([*KINDS, "secret", "none", "none", "none"])
             part = rng.choice(plain) if kind == "none" else data(kind)
             if kind != "none" and rng.random() < 0.2:
                 part = [*part[:-1], part[-1] + rng.choice(".,")]
@@ -291,12 +299,12 @@ class Tagger:
 
 
 def _fits(body: str, kind: int) -> bool:
-    """Whether what the model takes for data of a kind passes that kind's check by itself."""
+    """Whether what the model takes for data of a kind passes that kind's check by itself; a secret is the model's own to tell, if it isn't mere marks."""
     digits = sum(c.isdigit() for c in body)
     if kind == 3:
         return 7 <= digits <= 15 and digits >= 0.6 * sum(c.isalnum() for c in body)
     if kind == 4:
-        return len(body) >= 12 and (digits > 0 or body.startswith(KEYS))
+        return sum(c.isalnum() for c in body) >= 8
     return (0, len(body), kind) in base_spans(body)
 
 
