@@ -55,12 +55,19 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_entry_survives_what_cannot_be_imported(monkeypatch):
-    def missing(name):
-        raise ImportError(name)
-
-    monkeypatch.setattr(__spark_entry__, "import_module", missing)
-    assert set(__spark_entry__.queries()) == set(wiring.QUERIES)
-    monkeypatch.setattr(__spark_entry__, "import_module", lambda name: 1 / 0)
-    with pytest.raises(ZeroDivisionError):
-        __spark_entry__.queries()
+def test_entry_survives_what_is_absent_and_nothing_else(monkeypatch):
+    plain = {name for part in __spark_entry__.PARTS for name in part.QUERIES}
+
+    def fails(error):
+        def imported(name):
+            raise error
+
+        monkeypatch.setattr(__spark_entry__, "import_module", imported)
+
+    for name in ("tidewater.llm", "tidewater.llm.queries", "corpus_pipeline", "tokenizers"):
+        fails(ModuleNotFoundError(name=name))
+        assert set(__spark_entry__.queries()) == plain
+    for error in (ImportError("cannot import name 'x'", name="tidewater.llm.shared"), ModuleNotFoundError(name="misspelt"), ZeroDivisionError()):
+        fails(error)
+        with pytest.raises(type(error)):
+            __spark_entry__.queries()
