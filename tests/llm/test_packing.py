@@ -89,28 +89,74 @@ def test_ids_equal_the_library_on_whole_tables():
 
 def test_conversations(spark):
     library = Tokenizer.from_file(packing.VOCABULARY)
-    want: dict = {}
-    for conv, role, text in duckdb.sql(f"select conv_id, role, text from '{SF}/conversations.parquet'").fetchall():
+    rows = duckdb.sql(f"select conv_id, turn, role, text from '{SF}/conversations.parquet'").fetchall()
+    check_conversations(library, rows, queries.conversation_packing(spark, SF).collect())
+
+
+def check_conversations(library, rows, got, limits=(2048, 8, 1536)):
+    """Every token in exactly one piece, turns whole but where one is beyond the limits, conversations whole if they can be."""
+    turns: dict = {}
+    for conv, turn, role, text in rows:
         n = len(library.encode(text or "", add_special_tokens=False).ids) + 1
-        total = want.setdefault(conv, [0, 0])
-        total[0] += n
-        total[1] += n * (role == "assistant")
-    got = queries.conversation_packing(spark, SF).collect()
-    assert {r.conv_id: [r.n_tokens, r.n_loss] for r in got} == want and len(got) == len(want)
-    held: dict = {}
+        turns.setdefault(conv, []).append((turn, role or "", n, n * (role == "assistant")))
+    held, pieces = {}, {}
     for r in got:
-        assert (r.sequence_id is None) == (r.n_tokens > 2048 or r.n_loss > 1024)
-        if r.sequence_id is not None:
-            held.setdefault(r.sequence_id, []).append(r)
+        held.setdefault(r.sequence_id, []).append(r)
+        pieces.setdefault(r.conv_id, []).append(r)
+    assert None not in held and pieces.keys() == turns.keys()
     for own in held.values():
-        assert len(own) <= 8 and sum(r.n_tokens for r in own) <= 2048 and sum(r.n_loss for r in own) <= 1024
-    odd = [(1, "assistant", None), (None, "user", "a"), (None, None, "b"), (2, "assistant", "word " * 5000), (1, "assistant", None)]
-    turns = spark.createDataFrame([(*r, 1) for r in odd], "conv_id long, role string, text string, n_tokens int")
-    got = {r.conv_id: (r.n_tokens, r.n_loss, r.sequence_id is None) for r in packing.pack_conversations(turns).collect()}
-    assert got == {1: (2, 2, False), None: (4, 0, False), 2: (5002, 5002, True)}
+        assert len(own) <= limits[1] and sum(r.n_tokens for r in own) <= limits[0] and sum(r.n_loss for r in own) <= limits[2]
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == [sum(q.n_tokens for q in own[:i]) for i in range(len(own))]
+    for conv, own in turns.items():
+        own.sort(key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2]))
+        total, bears = sum(t[2] for t in own), sum(t[3] for t in own)
+        parts = sorted(pieces[conv], key=lambda r: (r.first_turn is not None, r.first_turn or 0, r.start))
+        assert sum(r.n_tokens for r in parts) == total and sum(r.n_loss for r in parts) == bears
+        if total <= limits[0] and bears <= limits[2]:
+            assert [(r.first_turn, r.last_turn, r.start) for r in parts] == [(min((t[0] for t in own if t[0] is not None), default=None), max((t[0] for t in own if t[0] is not None), default=None), 0)]
+        elif len({t[0] for t in own}) == len(own):
+            for r in parts:
+                inside = [t for t in own if r.first_turn <= t[0] <= r.last_turn]
+                whole = r.n_tokens == sum(t[2] for t in inside) and r.start == 0
+                assert whole or len(inside) == 1 and (inside[0][2] > limits[0] or inside[0][3] > limits[2])
+    return sorted(max(sum(r.n_tokens for r in own) / limits[0], len(own) / limits[1], sum(r.n_loss for r in own) / limits[2]) for own in held.values())
+
+
+def test_conversations_are_dense(spark):
+    library = Tokenizer.from_file(packing.VOCABULARY)
+    sf = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select conv_id, turn, role, text from '{sf}/conversations.parquet'").fetchall()
+    shares = check_conversations(library, rows, queries.conversation_packing(spark, sf).collect())
+    assert sum(shares) >= 0.9 * len(shares)  # of the limit that binds
+
+
+def test_odd_conversations(spark):
+    library = Tokenizer.from_file(packing.VOCABULARY)
+    rows = [(1, 0, "assistant", None), (None, 0, "user", "a"), (None, None, None, "b"), (2, 1, "assistant", "word " * 5000), (2, 0, "user", "x"), (1, 0, "assistant", None), (3, 5, "user", "y " * 9000)]
+    rows += [(4, i, "assistant" if i % 3 else "user", "z " * (i % 40)) for i in range(3000)]  # one with most of the rows
+    turns = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn int, role string, text string, n_tokens int")
+    check_conversations(library, rows, packing.pack_conversations(turns.repartition(6)).collect())
     assert packing.pack_conversations(turns.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 7, 700])
+def test_short_texts_need_no_padding(n):
+    """Segments run out before tokens do; what is then open keeps a power of two."""
+    packer, out = packing.Packer(), []
+    for i in range(3000):
+        out += packer.add(packing.Piece(i, 0, n, n))
+    out += packer.flush()
+    for s in out:
+        held = sum(p.length for p in s.pieces)
+        assert held & (held - 1) == 0 and len(s.pieces) <= packing.SEGMENTS
+    seen: dict = {}
+    for p in sorted((p for s in out for p in s.pieces), key=lambda p: (p.item, p.start)):
+        assert seen.get(p.item, 0) == p.start
+        seen[p.item] = p.start + p.length
+    assert seen == dict.fromkeys(range(3000), n)
+
+
 def test_items(spark):
     items = spark.createDataFrame([(i, 100 + i % 900, i % 100) for i in range(300)] + [(300, None, None)], "item_id long, n_tokens long, n_loss long")
     got = packing.pack_items(items.repartition(2)).collect()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 from zlib import crc32
 
 import numpy as np
@@ -16,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewater.llm.shared import byte_slices, map_texts
+from tidewater.llm.shared import byte_slices, map_texts, stored
 
 #: Limits of a sequence: tokens, segments, and tokens that bear loss; for conversations fewer segments and loss-bearing tokens.
 TOKENS, SEGMENTS, LOSS = 2048, 512, 2048
-CONVERSATIONS, CONVERSATION_LOSS = 8, 1024
-#: Open sequences in a task.
-OPEN = 64
+#: The loss of a sequence is a mean over its loss-bearing tokens, so three quarters of a sequence bear it at most: no few
+#: sequences of answers alone weigh more than the rest.
+CONVERSATIONS, CONVERSATION_LOSS = 8, 1536
+#: Open sequences in a task, of texts that may be cut and of whole items, which need more of a choice.
+OPEN, ITEMS_OPEN = 64, 1024
 #: The id that ends a document, and the text of the vocabulary's special token with its id.
 END, SPECIAL, SPECIAL_ID = 1, "<|endoftext|>", 50256
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -46,19 +49,40 @@ class Piece:
 class Sequence:
     pieces: list[Piece] = field(default_factory=list)
 
+    def split(self, size: int) -> tuple[Sequence, list[Piece]]:
+        """A sequence of the first `size` tokens, and the pieces that are left over."""
+        taken, rest, held = Sequence(), list(self.pieces), 0
+        rest.reverse()
+        while held < size:
+            piece = rest.pop()
+            part, more = piece.cut(min(piece.length, size - held))
+            taken.pieces.append(part)
+            held += part.length
+            if more.length:
+                rest.append(more)
+        rest.reverse()
+        return taken, rest
+
+    def unpadded(self, tokens: int) -> tuple[Sequence, list[Piece]]:
+        """As it is if it has `tokens`, else of as many as the largest power of two within it, and what is left over."""
+        held = sum(p.length for p in self.pieces)
+        return (self, []) if held in (0, tokens) else self.split(1 << (held.bit_length() - 1))
+
 
 class Packer:
     """Puts pieces into a bounded pool of open sequences under three limits.
 
     Each piece goes where the dot product of its demands and what is left, as shares of the limits, is largest. Where it
     fits nowhere, an item that may be cut tops up the fullest sequence that takes a token; one that mustn't be cut
-    closes the fullest.
+    closes the fullest. A sequence of cuttable items that has run out of segments or of loss before tokens keeps as many
+    tokens as the largest power of two within it, which needs no padding, and gives the rest back.
     """
 
     def __init__(self, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = OPEN):
         self.limits, self.pool = np.array([tokens, segments, loss], float), pool
         self.open: list[Sequence] = []
         self.left = np.zeros((0, 3))
+        self.back: list[Piece] = []
 
     def _put(self, i: int, piece: Piece) -> list[Sequence]:
         self.open[i].pieces.append(piece)
@@ -71,6 +95,22 @@ class Packer:
 
     def add(self, piece: Piece, cuttable: bool = True) -> list[Sequence]:
         """Takes in a piece and gives the sequences that are now full. An uncuttable piece beyond a limit is an error."""
+        done = self._add(piece, cuttable)
+        return self._unpadded(done) if cuttable else done
+
+    def _unpadded(self, done: list[Sequence]) -> list[Sequence]:
+        out = []
+        while done:
+            for sequence in done:
+                kept, rest = sequence.unpadded(int(self.limits[0]))
+                out.append(kept)
+                self.back += rest
+            done = []
+            while self.back and not done:
+                done = self._add(self.back.pop(), True)
+        return out
+
+    def _add(self, piece: Piece, cuttable: bool) -> list[Sequence]:
         done = []
         while True:
             need = np.array([piece.length, 1, piece.loss], float)
@@ -81,7 +121,7 @@ class Packer:
                 while piece.cut(n)[0].loss > self.limits[2]:
                     n -= piece.cut(n)[0].loss - int(self.limits[2])
                 part, piece = piece.cut(n)
-                done += self.add(part)
+                done += self._add(part, True)
                 continue
             fits = (self.left >= need).all(axis=1)
             if fits.any():
@@ -120,22 +160,16 @@ class Packer:
                 if part:
                     now.pieces.append(part)
                     room -= (part.length, 1, part.loss)
+                piece = rest if rest.length else None
                 if part is None or not room[0] or not room[1]:
-                    out.append(now)
+                    kept, more = now.unpadded(int(self.limits[0]))
+                    out.append(kept)
                     now, room = Sequence(), self.limits.copy()
-                piece = rest if rest.length else None
-        left = sum(p.length for p in now.pieces)
-        while left:
-            size, taken, held = 1 << (left.bit_length() - 1), Sequence(), 0
-            while held < size:
-                piece = now.pieces.pop(0)
-                part, rest = piece.cut(min(piece.length, size - held))
-                taken.pieces.append(part)
-                held += part.length
-                if rest.length:
-                    now.pieces.insert(0, rest)
-            out.append(taken)
-            left -= size
+                    pieces += more  # at the end, so that each turn gives out half of what it holds at least
+        while now.pieces:
+            kept, more = now.unpadded(int(self.limits[0]))
+            out.append(kept)
+            now = Sequence(more)
         return out
 
 
@@ -192,8 +226,8 @@ def pack(docs: DataFrame, path: str = VOCABULARY, tokens: int = TOKENS, segments
             for sequence in done:
                 offset = 0
                 for p in sequence.pieces:
-                    doc_id, ids = p.item
-                    values = (doc_id, p.start, p.length, crc32(ids[4 * p.start : 4 * (p.start + p.length)]), len(ids) // 4, number, offset)
+                    doc_id, ids, at, n = p.item
+                    values = (doc_id, p.start, p.length, crc32(ids[4 * (p.start - at) : 4 * (p.start - at + p.length)]), n, number, offset)
                     for column, value in zip(columns, values, strict=True):
                         column.append(value)
                     offset += p.length
@@ -208,20 +242,20 @@ def pack(docs: DataFrame, path: str = VOCABULARY, tokens: int = TOKENS, segments
                 ids = encoder.ids(text) + end
                 n, at = len(ids) // 4, 0
                 while n - at >= tokens and loss >= tokens:
-                    done.append(Sequence([Piece((doc_id, ids), at, tokens, tokens)]))
+                    done.append(Sequence([Piece((doc_id, ids, 0, n), at, tokens, tokens)]))
                     at += tokens
                 if n > at:
-                    done += packer.add(Piece((doc_id, ids), at, n - at, n - at))
+                    done += packer.add(Piece((doc_id, ids[4 * at :], at, n), at, n - at, n - at))  # only the tail's ids stay
             yield rows(done)
         yield rows(packer.flush())
 
     return docs.select("doc_id", "text").mapInArrow(each, f"doc_id {id_type}, {PIECES}")
 
 
-def pack_items(items: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = OPEN) -> DataFrame:
+def pack_items(items: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, pool: int = ITEMS_OPEN) -> DataFrame:
     """`items` (item_id, n_tokens long, n_loss long) of instruction data, each whole, as (item_id, n_tokens, n_loss, sequence_id, offset).
 
-    Each task packs what it reads, under all three limits. Null counts are 0. An item beyond a limit by itself is in no
+    Each task packs what it reads, under all three limits, the largest items of each Arrow batch first. Null counts are 0. An item beyond a limit by itself is in no
     sequence: its sequence_id and offset are null, as dropping or cutting it would change its loss. Repeated items and
     those without an id are items of their own; an empty table gives no rows.
     """
@@ -244,7 +278,7 @@ def pack_items(items: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS,
 
         for batch in batches:
             done, alone, kind = [], [], batch.column(0).type
-            for item, n, bears in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for item, n, bears in sorted(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True), key=lambda r: (-(r[1] or 0), -(r[2] or 0))):
                 if (n or 0) > tokens or (bears or 0) > loss:
                     alone.append((item, n, bears or 0, None, None))
                 else:
@@ -257,11 +291,16 @@ def pack_items(items: DataFrame, tokens: int = TOKENS, segments: int = SEGMENTS,
 
 
 def pack_conversations(turns: DataFrame, path: str = VOCABULARY, tokens: int = TOKENS, segments: int = CONVERSATIONS, loss: int = CONVERSATION_LOSS) -> DataFrame:
-    """The conversations of `turns` (conv_id, role, text), each whole, as pack_items() gives them with conv_id for item_id.
+    """The conversations of `turns` (conv_id, turn, role, text) in sequences: (conv_id, first_turn, last_turn, start, n_tokens, n_loss, sequence_id, offset).
+
+    A turn's tokens are its text's ids and END; those of the assistant's turns bear loss. A conversation within the limits
+    is one row, and stays whole. One beyond them is cut into chains of whole turns, and a turn that is beyond them by
+    itself into pieces of its tokens, so every token is in exactly one row; `start` has the tokens of first_turn before it,
+    0 but for such pieces. Null texts are empty; turns without a conv_id make up one conversation without an id; turns
+    ascend, nulls first, and those with one number by role and tokens. Other columns are not read; an empty table gives no rows.
 
-    A turn's tokens are its text's ids and END; those of the assistant's turns bear loss. Turns are counted where they are
-    read and sums of a conversation meet, so no text is shuffled and a conversation of any length is one row. Null texts
-    are empty; turns without a conv_id make up one conversation without an id.
+    No text is shuffled. Sums of a conversation meet in one row, whatever its size; turns of those beyond the limits are
+    dealt by ranges of (conv_id, turn), so that one of any size is spread; a chain ends where a task does.
     """
     made: list[Encoder] = []
 
@@ -270,7 +309,51 @@ def pack_conversations(turns: DataFrame, path: str = VOCABULARY, tokens: int = T
             made.append(Encoder(path))
         return {"n_tokens": [len(made[0].ids(t)) // 4 + 1 for t in texts]}
 
-    counted = map_texts(turns, each, "n_tokens long", ("conv_id", "role"))
+    counted = map_texts(turns, each, "n_tokens long", ("conv_id", "turn", "role"))
     bears = F.when(F.col("role") == "assistant", F.col("n_tokens")).otherwise(0)
-    items = counted.groupBy(F.col("conv_id").alias("item_id")).agg(F.sum("n_tokens").alias("n_tokens"), F.sum(bears).alias("n_loss"))
-    return pack_items(items, tokens, segments, loss).withColumnRenamed("item_id", "conv_id")
+    counted = stored(counted.select("conv_id", "turn", "role", "n_tokens", bears.alias("n_loss")), "turn-tokens")
+    ends = (F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.lit(0).cast("long").alias("start"))
+    totals = counted.groupBy("conv_id").agg(*ends, F.sum("n_tokens").alias("n_tokens"), F.sum("n_loss").alias("n_loss"))
+    beyond = (F.col("n_tokens") > tokens) | (F.col("n_loss") > loss)
+    long = totals.where(beyond).select(F.col("conv_id").alias("of"))
+    apart = counted.join(long.hint("merge"), counted["conv_id"].eqNullSafe(long["of"]), "left_semi")
+    # Stored before it is dealt by range, so that a task that runs again sees the same rows.
+    order = ("conv_id", "turn", "role", "n_tokens", "tie")
+    dealt = stored(apart.withColumn("tie", F.rand(5)), "long-turns").repartitionByRange(*order).sortWithinPartitions(*order).drop("tie")
+    names = ("conv_id", "first_turn", "last_turn", "start", "n_tokens", "n_loss")
+    schema = ", ".join(f"{c} {totals.schema[c].dataType.simpleString()}" for c in names)
+    chains = dealt.mapInArrow(partial(_chains, tokens=tokens, loss=loss), schema)
+    items = totals.where(~beyond).select(*names).unionByName(chains)
+    packed = pack_items(items.select(F.struct(*names[:4]).alias("item_id"), "n_tokens", "n_loss"), tokens, segments, loss)
+    return packed.select("item_id.*", "n_tokens", "n_loss", "sequence_id", "offset")
+
+
+def _chains(batches: Iterator[pa.RecordBatch], tokens: int, loss: int) -> Iterator[pa.RecordBatch]:
+    """Sorted turns to chains of one conversation's consecutive turns, or pieces of a turn, within the limits."""
+    chain: list | None = None
+    for batch in batches:
+        out = []
+        for conv, turn, _, n, bears in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if chain and (chain[0] != conv or chain[4] + n > tokens or chain[5] + bears > loss):
+                out.append(chain)
+                chain = None
+            most, at = min(tokens, loss) if bears else tokens, 0
+            while n - at > most:  # all of a turn's tokens bear loss, or none
+                out.append([conv, turn, turn, at, most, most if bears else 0])
+                at += most
+            if at:
+                out.append([conv, turn, turn, at, n - at, bears - at if bears else 0])
+            elif chain:
+                chain[2], chain[4], chain[5] = turn, chain[4] + n, chain[5] + bears
+            else:
+                chain = [conv, turn, turn, 0, n, bears]
+        yield _chain_rows(out, batch)
+        last = batch.slice(0, 0)
+    if chain:
+        yield _chain_rows([chain], last)
+
+
+def _chain_rows(rows: list, like: pa.RecordBatch) -> pa.RecordBatch:
+    kinds = [like.schema.field(0).type, *[like.schema.field(1).type] * 2, *[pa.int64()] * 3]
+    names = ["conv_id", "first_turn", "last_turn", "start", "n_tokens", "n_loss"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)

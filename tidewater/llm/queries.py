@@ -41,7 +41,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operator 4 on instruction data: whole conversations under limits on tokens, segments and loss-bearing tokens."""
+    """Operator 4 on instruction data: conversations, or chains of their turns, under limits on tokens, segments and loss-bearing tokens."""
     return packing.pack_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
