@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 import zlib
 from itertools import pairwise
 
@@ -108,7 +109,7 @@ def test_query_against_brute_force(spark, tmp_path):
     label = {d: max(p for i, p, _ in labels if i == d and p is not None) for d, q, _ in labels if d is not None and q is not None}
     held = {d for d, _ in rows if zlib.crc32(str(d).encode()) % 5 == 0}
     fit = sorted(label.keys() - held)
-    parts = [bags[d][np.unique(np.linspace(0, len(bags[d]) - 1, min(64, len(bags[d]))).astype(int))] for d in fit]
+    parts = [bags[d] for d in fit]  # all passages, of the one text of 125 as well
     model = mil.train(np.concatenate(parts), np.array([len(p) for p in parts]), np.array([label[d] for d in fit], float))
     for d, r in got.items():
         assert r.score == pytest.approx(brute_score(model.weights, bags[d]), abs=1e-3), d
@@ -116,10 +117,38 @@ def test_query_against_brute_force(spark, tmp_path):
     assert len(got) == len(rows)
 
 
-def test_what_the_driver_gets_is_bounded(spark):
-    docs = spark.createDataFrame([(i, "long text " * 100_000) for i in range(4)], "doc_id long, text string").withColumn("label", F.lit(1).cast("long"))
-    found = docs.mapInArrow(mil._encoded, "doc_id long, label long, x binary").collect()
-    assert [len(r.x) for r in found] == [4 * mil.FIT_PASSAGES * mil.N_FEATURES] * 4
+def test_what_the_driver_gets_is_bounded(spark, monkeypatch):
+    """By texts: each that is drawn teaches with all its passages, and one that no longer fits isn't drawn."""
+    sizes = {i: n for i, n in enumerate([3, 200, 5, 40, 1, 7, 90, 2])}
+    docs = spark.createDataFrame([(i, "long text " * (32 * n)) for i, n in sizes.items()], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("label"))
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64("doc_id")).collect()]
+    seen = []
+    monkeypatch.setattr(mil, "train", lambda x, per_text, y: seen.append((len(x), per_text.tolist(), y.tolist())))
+    for most in (10_000, 100, 4, 0):
+        want, left = [], most
+        for i in order:
+            if sizes[i] <= left:
+                want.append(i)
+                left -= sizes[i]
+        mil.fit(docs, labels, passages=most)
+        assert seen.pop() == (sum(sizes[i] for i in want), [sizes[i] for i in sorted(want)], [float(i % 2) for i in sorted(want)])
+
+
+def test_blocks_change_nothing_and_bound_memory(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join("w" * rng.randint(1, 12) for _ in range(rng.randint(0, 900))) + rng.choice(["", " ", "\n\n"]) for _ in range(40)] + ["", " " * 5000, "x" * 5000]
+    want = mil.encode(texts)
+    monkeypatch.setattr(mil, "BLOCK", 700)
+    got = mil.encode(texts)
+    assert np.array_equal(got[1], want[1]) and np.array_equal(got[0], want[0])
+    monkeypatch.undo()
+    for text in ("word another " * 400_000, "y" * 5_000_000):
+        tracemalloc.start()
+        mil.encode([text])
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 10 * len(text) + 60_000_000, most  # the arrays of one block, whatever the text
 
 
 def test_held_out_accuracy(spark):

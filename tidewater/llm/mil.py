@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.quality_rules import CLASSES, _class_table
-from tidewater.llm.shared import byte_slices
+from tidewater.llm.shared import byte_slices, stored, unstored
 
 #: Words of a passage, and buckets of hashed words in its features.
 PASSAGE, BUCKETS = 64, 16
-#: Labelled texts that the model is fitted on, about, by a draw of each row; passages of each that it is fitted on at most,
-#: evenly spaced. So some 54 MB reach the driver at most, whatever the corpus. Scores are of all passages of all texts.
-SAMPLE, FIT_PASSAGES = 6000, 64
+#: Labelled texts that the model is fitted on, about, by a draw of each row, and passages of all of them at most, some 54 MB:
+#: a bound on the labelled rows that are drawn. Each that is drawn teaches with all its passages.
+SAMPLE, SAMPLE_PASSAGES = 6000, 384_000
+#: Characters that features are made of at once, some 18 MB of arrays, and of a word; a longer run counts as several words.
+BLOCK, LONGEST = 250_000, 4000
 #: Sizes of a passage's representation and of its attention; steps of the training, their rate and decay, and the texts of each.
 HIDDEN, ATTENTION, STEPS, RATE, DECAY, STEP = 24, 12, 1200, 0.01, 1e-3, 128
 
@@ -27,12 +30,52 @@ _MARKS = "|!*.,"
 N_FEATURES = len(CLASSES) - 1 + len(_MARKS) + BUCKETS + 7
 
 
+_WORD, _LONG_RUN = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"([^\x20\x09-\x0D]{%d})(?=[^\x20\x09-\x0D])" % LONGEST)
+
+
 def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Features of all passages of the texts, one text after another, and the number of passages of each.
 
-    A passage is a run of PASSAGE words; a text without words has one empty passage. All counts are made over all texts
-    at once, on arrays of code points, words and passages.
+    A passage is a run of PASSAGE words; a text without words has one empty passage. Counts are made over about BLOCK
+    characters at once: several texts, or the passages of a part of one, so a text of any length takes no more memory.
     """
+    features, per_text = [np.zeros((0, N_FEATURES), np.float32)], np.zeros(len(texts), np.int64)
+    now: list[tuple[int, str]] = []
+    held = 0
+
+    def done() -> None:
+        x, counts = _encode([part for _, part in now])
+        features.append(x)
+        np.add.at(per_text, [i for i, _ in now], counts)
+        now.clear()
+
+    for i, text in enumerate(texts):
+        for part in _blocks(text):
+            if now and held + len(part) > BLOCK:
+                done()
+                held = 0
+            now.append((i, part))
+            held += len(part)
+    if now:
+        done()
+    return np.concatenate(features), per_text
+
+
+def _blocks(text: str) -> Iterator[str]:
+    """A text in parts of whole passages, BLOCK characters or a passage each; most texts are one."""
+    text = _LONG_RUN.sub(r"\1 ", text) if len(text) > LONGEST else text
+    start = n = 0
+    for m in _WORD.finditer(text) if len(text) > BLOCK else ():
+        n += 1
+        if n % PASSAGE == 0 and m.end() - start >= BLOCK // 2:
+            yield text[start : m.end()]
+            start = m.end()
+    if not start or _WORD.search(text, start):
+        yield text[start:]
+
+
+def _encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the passages of some texts; all counts are made on arrays of code points, words and passages."""
     points = np.frombuffer("".join(f"{t}\n" for t in texts).encode("utf-32-le", "replace"), np.uint32)
     kinds = _class_table()[points]
     solid = kinds != _SPACE
@@ -155,25 +198,33 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in byte_slices(batches):
         x, per_text = encode([t.decode("utf-8", "replace") for t in texts])
         ends = np.cumsum(per_text)
-        rows = [x[e - n : e][np.unique(np.linspace(0, n - 1, min(n, FIT_PASSAGES)).astype(int))].tobytes() for e, n in zip(ends, per_text, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], names=["doc_id", "label", "x"])
+        rows = [x[e - n : e].tobytes() for e, n in zip(ends, per_text, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(per_text), pa.array(rows, pa.binary())], names=["doc_id", "label", "n", "x"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int = SAMPLE_PASSAGES) -> Model:
     """A model fitted on about `sample` of the texts of `docs` (doc_id, text) that `labels` (doc_id, label 0 or 1) names.
 
-    Rows are drawn by a hash of their ids. Only features of passages of these texts reach the driver: of a text of up to
-    FIT_PASSAGES passages all, of a longer one as many, evenly spaced. Null labels and ids count as none; a null text is
-    empty. A doc_id teaches once, however often it stands in either table: by the greatest of its labels, and by that of
-    its texts whose features come first. Without texts of both labels every score is the share of label 1.
+    Rows are drawn by a hash of their ids, and of these, in the order of the hash, each whose passages still fit into
+    `passages`; a text that is drawn teaches with all its passages. Only their features reach the driver. Null labels and
+    ids count as none; a null text is empty. A doc_id teaches once, however often it stands in either table: by the
+    greatest of its labels, and by that of its texts with the fewest passages whose features come first. Without texts of
+    both labels every score is the share of label 1.
     """
     known = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("label").cast("long")).alias("label"))
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
-    taken = known.where(draw < min(1.0, sample / max(1, n)))
-    joined = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id")
-    encoded = joined.mapInArrow(_encoded, "doc_id long, label long, x binary")
-    rows = sorted(encoded.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("x").alias("x")).collect())
+    drawn = known.where(draw < min(1.0, sample / max(1, n)))
+    joined = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    encoded = joined.mapInArrow(_encoded, "doc_id long, label long, n long, x binary")
+    encoded = stored(encoded.groupBy("doc_id").agg(F.first("label").alias("label"), F.min(F.struct("n", "x")).alias("own")).select("doc_id", "label", "own.*"), "fit-passages")
+    taken, left = [], passages
+    for doc_id, size in encoded.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "n").toLocalIterator():
+        if size <= left:
+            taken.append(doc_id)
+            left -= size
+    rows = sorted(encoded.where(F.col("doc_id").isin(taken)).select("doc_id", "label", "x").collect())
+    unstored(encoded)
     parts = [np.frombuffer(r.x, np.float32).reshape(-1, N_FEATURES) for r in rows]
     x = np.concatenate(parts) if parts else np.zeros((0, N_FEATURES), np.float32)
     return train(x, np.array([len(p) for p in parts], np.int64), np.array([r.label for r in rows], float))
@@ -182,7 +233,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score, n_passages) for every row of `docs` (doc_id, text). Only the text is read, whole and whatever its length.
 
-    A null text counts as empty; a text without words has one passage. Each row is scored by itself: equal texts have
+    A null text counts as empty; a text without words has one passage; a run of over 4,000 characters without white space
+    counts as several words. Each row is scored by itself: equal texts have
     equal scores, as repeated rows have. Other columns may have any names; an empty table gives no rows.
     """
 
