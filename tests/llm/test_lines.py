@@ -55,20 +55,42 @@ def test_runs_outlive_a_call(spark):
         want = brute(seen, 6)
         found = {(r.doc_id, r._n_lines, r._n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in got.collect()}
         assert found == {w for w in want if w[0] in (2 * k, 2 * k + 1)}
+        assert not registered(spark)  # so the next call, like another session, has nothing but the files to go by
     runs = lines.LineRuns(spark, 6, 2, name)
     assert runs.batches == 7 and 1 < len(runs.levels) and len(runs._runs()) == 3
-    spark.table(runs._runs()[0]).write.saveAsTable(f"{name}_0_3_3")  # what a job leaves that dies after it compacted batch 3
+    folders = runs._folders()
+    # What jobs leave that die: after they compacted batch 3, and while they wrote batch 7.
+    spark.table(runs._runs()[0]).write.parquet(f"{runs.path}/0_3_3_8")
+    spark.table(runs._runs()[0]).write.parquet(f"{runs.path}/0_7_7_8")
+    fs, path = runs._fs("0_7_7_8/_SUCCESS")
+    fs.delete(path, False)
+    runs.close()
     runs = lines.LineRuns(spark, 6, 2, name)
-    assert len(runs._runs()) == 3 and not spark.catalog.tableExists(f"{name}_0_3_3")
-    runs.drop()
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+    assert len(runs._runs()) == 3 and runs._folders() == folders and runs.batches == 7
+    runs.close()
+    assert not registered(spark)
+
+
+def registered(spark):
+    return [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
+def test_names_of_runs(spark):
+    """Any name is one of its own: letters of any case, one that another begins with, quotes, slashes, none at all."""
+    names = ["web", "Web", "web_new", "web_0_0_0", "a'b\\c", "x/../y", "é %20", "", "n" * 400]
+    for turn in range(2):
+        for i, name in enumerate(names):
+            docs = spark.createDataFrame([(100 * turn + k, f"shared by {i}\nown") for k in range(2)], "doc_id long, text string")
+            got = lines.drop_frequent_lines(docs, 3, 1, 2, name=name).collect()
+            assert {r._n_dropped for r in got} == {2 if turn else 0}, name
+    assert not registered(spark)
 
 
 def test_runs_go_when_a_call_fails(spark, monkeypatch):
     monkeypatch.setattr(lines.LineRuns, "frequent", lambda self: 1 / 0)
     with pytest.raises(ZeroDivisionError):
         lines.drop_frequent_lines(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
-    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+    assert not registered(spark)
 
 
 def test_malformed_text(spark):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from functools import partial
+from hashlib import sha256
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.shared import SPACE, byte_slices, free_name, stored, unstored
+from tidewater.llm.shared import SPACE, byte_slices, free_name, stored, unstored, work_dir
 
 #: Documents in which a line's key must occur for its lines to go.
 MIN_DOCS = 10
@@ -30,41 +32,76 @@ def line_key(line: bytes) -> bytes | None:
 
 
 class LineRuns:
-    """Levels of runs (key, n_docs), each a table bucketed and sorted by key, so that joins with them merge without a shuffle.
+    """Levels of runs (key, n_docs), each bucketed and sorted by key, so that joins with them merge without a shuffle.
 
     A key that reaches `min_docs` in one run is settled: later batches anti-join it away instead of counting it again.
     Every other key's documents are the sum over all runs, so no order or number of batches changes what is frequent.
 
-    Runs are tables of the catalogue, named by `name` and the first and last batch that they hold. With a name given, runs
-    of that name from earlier jobs are taken up again, and new batches are added to them. A run whose batches another
-    holds as well was compacted by a job that died before it dropped it, and is dropped then.
+    Runs are folders under the shared folder, each named by its level, the first and last batch that it holds, and its
+    buckets; what lies there is what there is. A session only registers them, under names of its own, as tables that leave
+    their files alone. With a name given, runs of that name from earlier calls, jobs and sessions are taken up again, and
+    new batches are added to them; one caller at a time may write to a name. A folder without the mark of a finished write
+    is what a job that died left, and goes. So does a run whose batches another holds as well: it was compacted by a job
+    that died before it deleted it.
     """
 
     def __init__(self, spark: SparkSession, min_docs: int = MIN_DOCS, fanout: int = FANOUT, name: str | None = None):
-        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
-        self.name = name or f"line_run_{uuid.uuid4().hex}"
-        self.levels: list[list[str]] = []
+        self.spark, self.min_docs, self.fanout, self.named = spark, min_docs, fanout, name is not None
+        # Hashed, so that any name is a folder of its own, whatever its letters and length.
+        self.path = f"{work_dir(spark)}/line-runs/{sha256(name.encode()).hexdigest() if self.named else uuid.uuid4().hex}"
+        self.levels: list[list[tuple[str, str]]] = []  # (folder, table)
         self.batches = 0
-        found = [t.name for t in spark.catalog.listTables(pattern=f"{self.name}_*")] if name else []
-        spans = {t: tuple(map(int, t.removeprefix(f"{self.name}_").split("_"))) for t in found}
-        for t, (level, first, last) in sorted(spans.items(), key=lambda x: x[1][1:]):
-            if any(o != t and b <= first and last <= c for o, (_, b, c) in spans.items()):
-                spark.sql(f"DROP TABLE {t}")
+        found = {f: tuple(map(int, m.groups())) for f in self._folders() if (m := re.fullmatch(r"(\d+)_(\d+)_(\d+)_(\d+)", f))} if self.named else {}
+        whole = {f: s for f, s in found.items() if self._exists(f"{f}/_SUCCESS")}
+        for f, (level, first, last, buckets) in sorted(found.items(), key=lambda x: x[1][1:]):
+            if f not in whole or any(o != f and b <= first and last <= c and (b, c, k) != (first, last, level) for o, (k, b, c, _) in whole.items()):
+                self._delete(f)
                 continue
-            self._put(t, level)
+            self._put(f, self._registered(f, buckets), level)
             self.batches = max(self.batches, last + 1)
 
-    def _put(self, run: str, level: int) -> None:
+    def _fs(self, folder: str = ""):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{folder}" if folder else self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _exists(self, folder: str) -> bool:
+        fs, path = self._fs(folder)
+        return fs.exists(path)
+
+    def _folders(self) -> list[str]:
+        fs, path = self._fs()
+        return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _delete(self, folder: str) -> None:
+        fs, path = self._fs(folder)
+        fs.delete(path, True)
+
+    def _registered(self, folder: str, buckets: int) -> str:
+        """A table of this session over a run's files, which knows their buckets and order."""
+        table = f"line_run_{uuid.uuid4().hex}"
+        place = f"{self.path}/{folder}".replace("\\", "\\\\").replace("'", "\\'")
+        self.spark.sql(f"CREATE TABLE {table} (key BINARY, n_docs BIGINT) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {buckets} BUCKETS LOCATION '{place}'")
+        return table
+
+    def _put(self, folder: str, table: str, level: int) -> None:
         self.levels += [[] for _ in range(level + 1 - len(self.levels))]
-        self.levels[level].append(run)
+        self.levels[level].append((folder, table))
 
     def _write(self, counts: DataFrame, level: int, first: int, last: int) -> None:
-        run, buckets = f"{self.name}_{level}_{first}_{last}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        counts.repartition(buckets, "key").write.bucketBy(buckets, "key").sortBy("key").format("parquet").saveAsTable(run)
-        self._put(run, level)
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        folder, table = f"{level}_{first}_{last}_{buckets}", f"line_run_{uuid.uuid4().hex}"
+        writer = counts.select("key", "n_docs").repartition(buckets, "key").write.bucketBy(buckets, "key").sortBy("key").format("parquet")
+        writer.option("path", f"{self.path}/{folder}").saveAsTable(table)
+        self._put(folder, table, level)
+
+    def _forget(self, runs: list[tuple[str, str]], files: bool) -> None:
+        for folder, table in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+            if files:
+                self._delete(folder)
 
     def _runs(self) -> list[str]:
-        return [r for level in self.levels for r in level]
+        return [table for level in self.levels for _, table in level]
 
     def add(self, counts: DataFrame) -> None:
         """Takes in a batch's (key, n_docs): what no run has settled becomes a run of level 0; full levels are compacted."""
@@ -74,10 +111,9 @@ class LineRuns:
         self.batches, level = self.batches + 1, 0
         while len(self.levels[level]) >= self.fanout:
             old = self.levels[level]
-            ends = [int(x) for run in old for x in run.split("_")[-2:]]
-            self._write(self._summed(old), level + 1, min(ends), max(ends))
-            for run in old:
-                self.spark.sql(f"DROP TABLE {run}")
+            ends = [int(x) for folder, _ in old for x in folder.split("_")[1:3]]
+            self._write(self._summed([table for _, table in old]), level + 1, min(ends), max(ends))
+            self._forget(old, files=True)
             self.levels[level] = []
             level += 1
 
@@ -97,10 +133,12 @@ class LineRuns:
         """The keys (key) found in at least `min_docs` documents so far, as a table of their own; the runs stay."""
         return stored(self._settled(self._summed(self._runs())), "frequent-lines")
 
-    def drop(self) -> None:
-        for run in self._runs():
-            self.spark.sql(f"DROP TABLE {run}")
+    def close(self) -> None:
+        """The session forgets the runs; their files stay if they have a name, for the next call, and go if not."""
+        self._forget([run for level in self.levels for run in level], files=False)
         self.levels = []
+        if not self.named:
+            self._delete("")
 
 
 def _owner() -> Column:
@@ -161,8 +199,7 @@ def drop_frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, batches: int
             runs.add(batch.groupBy("key").agg(F.count("*").alias("n_docs")))
         frequent = runs.frequent()
     finally:
-        if name is None:
-            runs.drop()
+        runs.close()
     drops = stored(keys.join(frequent, "key", "left_semi").groupBy("owner").agg(F.collect_set("key").alias(dropped)), "line-drops")
     unstored(keys)
     unstored(frequent)
