@@ -9,6 +9,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,9 +47,22 @@ _RANGES = (
 _STARTS = np.array([a for a, _ in _RANGES], np.uint32)
 _SCRIPT_OF = np.array([SCRIPTS.index(s) for _, s in _RANGES], np.uint8)
 
-#: Runs of letters (category L): the word characters of `re` less digits, the underscore, and numbers such as fractions.
-_NUMBERS = "".join(re.escape(c) for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: Word characters of `re` less digits and the underscore, and of these runs the letters: numbers such as fractions are none.
+_WORD = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
+
+
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """Starts and ends of a text's runs of letters (category L)."""
+    out = []
+    for m in _WORD.finditer(text):
+        out += [m.span()] if m[0].isalpha() else [p.span() for p in _LETTERS.finditer(text, *m.span())]
+    return out
+
+
+def words_of(text: str) -> list[str]:
+    found = _WORD.findall(text)
+    return found if all(map(str.isalpha, found)) else [text[a:b] for a, b in word_spans(text)]
 
 
 def code_points(text: str) -> np.ndarray:
@@ -85,7 +99,7 @@ def _counts(batches: Iterator[pa.RecordBatch], at: dict[str, int]) -> Iterator[p
         langs = batch.column("lang").to_pylist()
         for lang in set(langs):
             text = " ".join(t.decode("utf-8", "replace").lower() for t, own in zip(texts, langs, strict=True) if own == lang)
-            words = _WORD.findall(text)
+            words = words_of(text)
             if words:
                 kinds = Counter(words)
                 buckets, runs = word_features(list(kinds))
@@ -183,7 +197,7 @@ class Identifier:
 
     def label(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
         """For each text its words, and for each word the index of its language and the words' scores."""
-        words = [_WORD.findall(t.lower()) for t in texts]
+        words = [words_of(t.lower()) for t in texts]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ids = self._ids([w for own in words for w in own])
         scores = self.rows[ids]
@@ -194,9 +208,9 @@ class Identifier:
     def spans(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, language) of runs of words of one language, in code points of the text."""
         (_, labels, _), out = self.label([text])[0], []
-        places = [m.span() for m in _WORD.finditer(text)]
+        places = word_spans(text)
         if len(places) != len(labels):  # lower-casing changed what is a word; offsets are those of the lower-cased text
-            places = [m.span() for m in _WORD.finditer(text.lower())]
+            places = word_spans(text.lower())
         for (a, b), k in zip(places, labels, strict=True):
             if out and out[-1][2] == self.model.langs[k]:
                 out[-1] = (out[-1][0], b, out[-1][2])
