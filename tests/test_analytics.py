@@ -1,0 +1,201 @@
+import itertools
+import random
+from collections import Counter
+from decimal import Decimal
+
+import duckdb
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tidewater.operators.antijoin import not_in
+from tidewater.operators.distincts import cube, grouping_sets_distinct, rollup
+from tidewater.operators.frames import EXCLUDES, groups_frame
+from tidewater.operators.frequent import Summary, summarize, top_items
+from tidewater.plans import analytics
+
+SF = "/root/testdata/sf0.001"
+
+
+def same(got, want):
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("name", sorted(analytics.ORACLE))
+def test_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("lineitem", "events", "documents"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = analytics.QUERIES[name](spark, SF)
+    want = con.sql(f"select {', '.join(df.columns)} from ({analytics.ORACLE[name]})").fetchall()
+    assert want
+    same(map(tuple, df.collect()), want)
+    plan = df._jdf.queryExecution().toString()
+    assert name.startswith("top_") or "NestedLoop" not in plan
+
+
+# Frames.
+
+FRAMES = [(-1, 1), (None, 0), (0, None), (-2, -1), (1, 3), (None, None), (0, 0), (-3, 2)]
+
+
+@pytest.mark.parametrize("exclude", EXCLUDES)
+def test_frames_against_duckdb(spark, exclude):
+    """Ties, nulls in every column, groups of one row, values that are equal within a group."""
+    rng = random.Random(exclude)
+    rows = [(i, rng.choice(["a", "a", "b", None]), rng.choice([None, *range(8)]), rng.choice([0, 1]), rng.choice([None, None, *range(-3, 4)])) for i in range(160)]
+    rows += [(500 + i, "once", i, 0, i) for i in range(3)] + [(600, "alone", None, None, None)]
+    df = spark.createDataFrame(rows, "id int, p string, o int, o2 int, v int").withColumn("_k0", F.lit("x"))
+    con = duckdb.connect()
+    con.sql("create table t (id int, p varchar, o int, o2 int, v int)")
+    con.executemany("insert into t values (?, ?, ?, ?, ?)", rows)
+    wanted = {"s": ("sum", "v"), "n": ("count", "v"), "rows": ("count", "*"), "lo": ("min", "v"), "hi": ("max", "v")}
+    said = {"no others": "", "current row": "exclude current row", "group": "exclude group", "ties": "exclude ties"}[exclude]
+    edge = lambda x, side: f"unbounded {side}" if x is None else "current row" if x == 0 else f"{abs(x)} {'preceding' if x < 0 else 'following'}"
+    for (start, end), order in zip(FRAMES, itertools.cycle([["o"], ["o", "o2"]]), strict=False):
+        over = f"over (partition by p order by {', '.join(f'{o} nulls first' for o in order)} groups between {edge(start, 'preceding')} and {edge(end, 'following')} {said})"
+        want = con.sql(f"select id, cast(sum(v) {over} as bigint), count(v) {over}, count(*) {over}, min(v) {over}, max(v) {over} from t").fetchall()
+        out = groups_frame(df, ["p"], order, start, end, wanted, exclude)
+        assert out.columns == [*df.columns, *wanted]
+        same(map(tuple, out.select("id", *wanted).collect()), want)
+    assert groups_frame(df.limit(0), ["p"], ["o"], -1, 1, wanted, exclude).count() == 0
+
+
+def test_frames_refuse_what_they_cannot(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    with pytest.raises(ValueError):
+        groups_frame(df, ["a"], ["b"], 0, 0, {"x": ("median", "b")})
+    with pytest.raises(ValueError):
+        groups_frame(df, ["a"], ["b"], 0, 0, {"x": ("sum", "b")}, "all")
+
+
+# NOT IN.
+
+
+def brute_not_in(left, right):
+    def may_be(a, b):  # true or unknown
+        return all(x is None or y is None or x == y for x, y in zip(a, b, strict=True))
+
+    return [row for row in left if not any(may_be(row[1:], r) for r in right)]
+
+
+@pytest.mark.parametrize("width", [1, 2, 3])
+def test_not_in_with_nulls(spark, width):
+    rng = random.Random(width)
+    for nulls in (0.0, 0.1, 0.5):
+        some = lambda n: tuple(None if rng.random() < n else rng.randint(0, 5) for _ in range(width))
+        names = [f"c{i}" for i in range(width)]
+        for n_right in (0, 1, 12):
+            left = [(i, *some(nulls)) for i in range(60)]
+            right = [some(nulls * 0.3) for _ in range(n_right)] * 2
+            a = spark.createDataFrame(left, "_kind int, " + ", ".join(f"{c} int" for c in names))
+            b = spark.createDataFrame(right, ", ".join(f"{c}_of int" for c in names))
+            out = not_in(a, b, names, [f"{c}_of" for c in names])
+            same(map(tuple, out.collect()), brute_not_in(left, right))
+            assert out.columns == a.columns and "NestedLoop" not in out._jdf.queryExecution().toString()
+    assert not_in(a.limit(0), b, names, [f"{c}_of" for c in names]).count() == 0
+
+
+def test_not_in_of_null_rows(spark):
+    a = spark.createDataFrame([(1, None), (None, None), (2, 3)], "x int, y int")
+    none = spark.createDataFrame([(None, None)], "x int, y int")
+    assert not_in(a, none, ["x", "y"]).count() == 0
+    assert not_in(a, none.limit(0), ["x", "y"]).count() == 3
+    half = spark.createDataFrame([(2, None)], "x int, y int")
+    assert [tuple(r) for r in not_in(a, half, ["x", "y"]).collect()] == [(1, None)]
+
+
+# Distinct counts.
+
+
+def shuffled_rows(df):
+    """Rows that the exchanges of a finished query wrote, by Spark's own metrics."""
+    total, nodes, seen = 0, [df._jdf.queryExecution().executedPlan()], set()
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            nodes.append(node.plan())
+        elif node.nodeName() == "ReusedExchange":
+            continue
+        found = node.metrics().get("shuffleRecordsWritten")
+        if found.isDefined() and node.id() not in seen:
+            total += found.get().value()
+            seen.add(node.id())
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_cube_with_fewer_shuffled_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    ours = analytics.sales_cube(spark, sf)
+    assert ours.count() and len(ours.collect()) == 96
+    spark.read.parquet(f"{sf}/lineitem.parquet").withColumn("year", F.year("l_shipdate")).createOrReplaceTempView("lines_of_cube")
+    plain = spark.sql("select l_returnflag, l_linestatus, year, count(distinct l_orderkey), count(distinct l_partkey), count(distinct l_suppkey), count(*) from lines_of_cube group by cube (l_returnflag, l_linestatus, year)")
+    assert len(plain.collect()) == 96
+    assert 0 < shuffled_rows(ours) < 0.05 * shuffled_rows(plain)
+
+
+@pytest.mark.parametrize("kind", [cube, rollup])
+def test_distinct_counts_against_brute_force(spark, kind):
+    """Nulls in keys and values, negative, huge and sparse values, a set of nothing, sums."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2, None]), rng.choice([None, rng.randint(-9, 9), rng.randint(-(2**62), 2**62)]), rng.randint(0, 70_000), rng.choice([None, Decimal("1.25")])) for _ in range(500)]
+    df = spark.createDataFrame(rows, "k string, part int, u long, w int, s decimal(9,2)").repartition(4)
+    keys = ["k", "part"]
+    got = grouping_sets_distinct(df, keys, [*kind(keys), ("k",), ("k",)], {"n_u": "u", "n_w": "w"}, {"total": F.col("s")})
+    want = []
+    for one in {*kind(keys), ("k",)}:
+        groups: dict = {}
+        for r in rows:
+            groups.setdefault(tuple(r[i] if c in one else None for i, c in enumerate(keys)), []).append(r)
+        gid = sum((c not in one) << (1 - i) for i, c in enumerate(keys))
+        for key, own in groups.items():
+            some = [r[4] for r in own if r[4] is not None]
+            want.append((*key, gid, len(own), len({r[2] for r in own} - {None}), len({r[3] for r in own}), sum(some) if some else None))
+    same(map(tuple, got.collect()), want)
+    assert grouping_sets_distinct(df.limit(0), keys, cube(keys), {"n": "u"}).count() == 0
+
+
+# Frequent items.
+
+
+def test_summary_keeps_its_bound():
+    rng = random.Random(5)
+    items = [int(rng.paretovariate(0.8)) % 5000 for _ in range(30_000)]
+    true, parts = Counter(items), []
+    for counters in (10, 100, 1000, 100_000):
+        for merged in (False, True):
+            parts = [Summary(counters, pa.int64()) for _ in range(7 if merged else 1)]
+            for i in range(0, len(items), 500):
+                own = Counter(items[i : i + 500])
+                parts[i // 500 % len(parts)].add(pa.table({"item": pa.array(list(own), pa.int64()), "n": pa.array(list(own.values()), pa.int64())}))
+            whole = parts[0]
+            for p in parts[1:]:
+                whole.add(p.table, p.lost)
+            found = dict(zip(whole.table["item"].to_pylist(), whole.table["n"].to_pylist(), strict=True))
+            assert len(found) <= counters and whole.lost <= len(items) / counters
+            assert all(found.get(i, 0) <= n <= found.get(i, 0) + whole.lost for i, n in true.items())
+
+
+@pytest.mark.parametrize("table,item", [("events", "user_id"), ("words", "word")])
+def test_summary_of_tables(spark, table, item):
+    sf = "/root/testdata/sf0.01"
+    df = spark.read.parquet(f"{sf}/events.parquet") if table == "events" else spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(F.split("text", "\\s+")).alias("word"))
+    df = df.repartition(40)
+    true, total = {r[0]: r[1] for r in df.groupBy(item).count().collect()}, df.count()
+    for counters, fanin in ((50, 3), (2000, 16)):
+        got = summarize(df, item, counters, fanin).collect()
+        lost = got[0].lost
+        assert len(got) <= counters and lost <= total / counters and len({r.item for r in got}) == len(got)
+        found = {r.item: r.n for r in got}
+        assert all(found.get(i, 0) <= n <= found.get(i, 0) + lost for i, n in true.items())
+
+
+def test_top_items_edges(spark):
+    df = spark.createDataFrame([("a", 1)] * 5 + [("b", 1)] * 3 + [("c", 1)] * 3 + [(None, 1)] * 9, "item string, n int").repartition(3)
+    assert [tuple(r) for r in top_items(df, "item", 2).orderBy(F.col("n").desc(), "item").collect()] == [("a", 5), ("b", 3)]
+    assert top_items(df.limit(0), "item", 2).count() == 0 and summarize(df.limit(0), "item").count() == 0
+    assert top_items(df.where("item IS NULL"), "item", 2).count() == 0
