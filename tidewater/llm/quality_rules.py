@@ -16,13 +16,6 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.shared import byte_slices, map_texts, stored
 
-# Common words of four languages; those of every other language are learned from its texts.
-COMMON = {
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach",
-    "en": "the of and to a in is that it for was on with as be at by this are from or an have not which but they his had were",
-    "es": "de la que el en y a los del se las por un para con no una su al es lo como más pero sus le ya o este sí",
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont avec son aux ou",
-}
 #: Character classes, in the histogram's order.
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other")
 #: Ends of sentences and other punctuation of running text; the symbols that are counted by themselves.
@@ -35,8 +28,8 @@ CHAR_LIMIT, CHAR_GUARD = (0.20, 1.2), 20
 WORD_LIMIT, WORD_GUARD = (0.12, 2.0), 60
 #: Words that a text needs to be counted in its language's reference.
 REFERENCE_WORDS = 40
-#: A language beyond COMMON: its common words that are learned, and the texts that its reference needs at least.
-LEARNED_WORDS, REFERENCE_TEXTS = 30, 50
+#: Common words that are learned of a language, the texts that it needs for a reference, and such languages at most.
+LEARNED_WORDS, REFERENCE_TEXTS, LANGUAGES = 30, 50, 256
 #: Words counted in a task before they are passed on, and numbers of word histograms that a task handles at once.
 COUNTED_WORDS, HELD_NUMBERS = 300_000, 2_000_000
 
@@ -186,18 +179,21 @@ def _word_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
-    """The common words of every language in `docs` (text, lang): COMMON's, and LEARNED_WORDS of any other with REFERENCE_TEXTS texts or more.
+    """The common words of every language in `docs` (text, lang) with REFERENCE_TEXTS texts or more, LEARNED_WORDS of each.
 
-    Those are the words with the greatest mean shares over all of the language's texts that count for its reference. Words
-    are summed by Spark, and LEARNED_WORDS of each language come to the driver. Only texts of languages beyond COMMON are read.
+    Those are the words with the greatest mean shares over all of the language's texts that count for its reference, of
+    equal ones the smaller. Words are summed by Spark, and LEARNED_WORDS of each language come to the driver; with more
+    than LANGUAGES languages a ValueError says so.
     """
-    words = {lang: own.encode().split() for lang, own in COMMON.items()}
-    other = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.col("lang").isin(*COMMON))
-    langs = [r["lang"] for r in other.groupBy("lang").count().where(F.col("count") >= REFERENCE_TEXTS).collect()]
+    some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    langs = [r["lang"] for r in some.groupBy("lang").count().where(F.col("count") >= REFERENCE_TEXTS).limit(LANGUAGES + 1).collect()]
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of lang have {REFERENCE_TEXTS} texts: no more references are held, and none is left out")
+    words: dict[str, list[bytes]] = {}
     if langs:
-        sums = other.where(F.col("lang").isin(langs)).select("text", "lang").mapInArrow(_word_sums, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+        sums = some.where(F.col("lang").isin(langs)).select("text", "lang").mapInArrow(_word_sums, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
         rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-        for r in sums.withColumn("rank", rank).where(F.col("rank") <= LEARNED_WORDS).collect():
+        for r in sums.withColumn("rank", rank).where(F.col("rank") <= LEARNED_WORDS).orderBy("lang", "rank").collect():
             words.setdefault(r.lang, []).append(bytes(r.word))
     return Vocabulary.of(words)
 
@@ -219,8 +215,8 @@ def _sums(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator
 def references(profiles: DataFrame, vocabulary: Vocabulary) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Mean character and common-word shares of each language of the vocabulary, over all texts that pass the base rule.
 
-    Some forty numbers of each language come to the driver, however large the corpus. A language without such texts has
-    no reference, nor has one beyond COMMON with less than REFERENCE_TEXTS of them.
+    Some forty numbers of each language come to the driver, however large the corpus. A language with less than
+    REFERENCE_TEXTS such texts has no reference.
     """
     fit = profiles.where(~_base_failed() & (F.col("n_words") >= REFERENCE_WORDS) & F.col("lang").isin(*vocabulary.places))
     sums: dict[str, dict[int, float]] = {}
@@ -228,7 +224,7 @@ def references(profiles: DataFrame, vocabulary: Vocabulary) -> dict[str, tuple[n
         sums.setdefault(r.lang, {})[r.i] = r.v
     out = {}
     for lang, at in sorted(sums.items()):
-        if lang in COMMON or at[0] >= REFERENCE_TEXTS:
+        if at[0] >= REFERENCE_TEXTS:
             values = np.array([at[i] for i in range(len(at))]) / at[0]
             out[lang] = (values[1 : len(CLASSES)], values[len(CLASSES) :])
     return out
@@ -260,8 +256,7 @@ def judge(docs: DataFrame, char_limit: tuple[float, float] = CHAR_LIMIT, word_li
     holds. A null or empty text has no words, so it fails the base rule; a text of any length is judged whole. Each row is
     judged by itself, so repeated rows and rows of one or no doc_id have their own verdicts, alike for equal rows; all of
     them count in the references. A distance equal to the limit is within it. Other columns are not read, whatever their
-    names; an empty table gives no rows. The registered SQL knows the languages of COMMON alone, and judges rows of any
-    `lang` by those.
+    names; an empty table gives no rows.
     """
     known_words = vocabulary(docs)
     profiles = stored(map_texts(docs, partial(profile, vocabulary=known_words), f"{BASE}, chars binary, common binary", ("doc_id", "lang")), "profiles")
@@ -281,7 +276,7 @@ def judge(docs: DataFrame, char_limit: tuple[float, float] = CHAR_LIMIT, word_li
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """`docs` without the rows that judge() rejects. Each row is judged by itself, whatever its doc_id and the rows beside it.
 
-    Texts are read twice, for the references and for the verdicts; no text is shuffled or stored. Null and empty texts go,
+    Texts are read three times, for common words, for the references and for the verdicts; no text is shuffled or stored. Null and empty texts go,
     as they fail the base rule; of repeated rows all stay or all go. All columns pass as they are, whatever their names; an
     empty table gives an empty table.
     """

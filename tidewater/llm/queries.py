@@ -123,7 +123,6 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 _VALUES = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in sorted(licenses.TEMPLATES.items()))
 _NORMAL = "string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ')"
 
-_COMMON = ", ".join(f"('{lang}', '{w}', {i})" for lang, ws in quality_rules.COMMON.items() for i, w in enumerate(ws.split()))
 _CLASSES = {"lower": r"[\p{L}\p{M}]", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "stop": r"[.,;:'\"\-()?]", "symbol": r"[#*$%&|<>]", "all": r"[^\x20\x09-\x0D]"}
 _COUNTS = ", ".join("len(regexp_extract_all(t, '{}')) as c_{}".format(c.replace("'", "''"), k) for k, c in _CLASSES.items())
 #: Base 2; the sums of each class or word, nothing for those that one side lacks.
@@ -213,24 +212,25 @@ ORACLE: dict[str, str] = {
                          / greatest(1, c_all) as p from base),
         plain as (select doc_id, unnest(regexp_extract_all({_LOWER.format("t")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')) as w from doc),
         total as (select doc_id, count(*) as n from plain group by doc_id),
-        common as (select * from (values {_COMMON}) v(ref, w, k)),
-        hits as (select doc_id, ref, k, count(*) as n from plain join common using (w) group by all),
-        langs as (select distinct ref from common),
-        slots as (select doc_id, lang, n_words, base_failed, ref, k from base, langs, range(41) r(k)
-                  where k <= (select count(*) from common c where c.ref = langs.ref)),
-        found as (select s.*, coalesce(h.n, 0) as n, coalesce(t.n, 0) as all_n,
-                         (select count(*) from common c where c.ref = s.ref) as last
-                  from slots s left join hits h using (doc_id, ref, k) left join total t using (doc_id)),
+        counted as (select doc_id, w, count(*) as n from plain group by all),
+        fit as (select doc_id, lang from base where not base_failed and n_words >= {quality_rules.REFERENCE_WORDS} and lang in (select lang from documents where text is not null group by lang having count(*) >= {quality_rules.REFERENCE_TEXTS})),
+        ranked as (select lang as ref, w, row_number() over (partition by lang order by sum(1000000 * c.n // t.n) desc, w) - 1 as k
+                   from fit join counted c using (doc_id) join total t using (doc_id) group by lang, w),
+        common as (select * from ranked where k < {quality_rules.LEARNED_WORDS}),
+        langs as (select lang as ref, (select count(*) from common c where c.ref = lang) as last from fit group by lang having count(*) >= {quality_rules.REFERENCE_TEXTS}),
+        hits as (select doc_id, ref, k, n from counted join common using (w)),
+        slots as (select doc_id, lang, ref, k, last from base, langs, range({quality_rules.LEARNED_WORDS + 1}) r(k) where k <= last),
+        found as (select s.*, coalesce(h.n, 0) as n, coalesce(t.n, 0) as all_n from slots s left join hits h using (doc_id, ref, k) left join total t using (doc_id)),
         words as (select *, case when k < last then n else all_n - sum(n) over (partition by doc_id, ref) end / greatest(1, all_n) as p from found),
-        fit_chars as (select lang as ref, k, avg(p) as q from chars where not base_failed and n_words >= {quality_rules.REFERENCE_WORDS} and lang in (select ref from langs) group by all),
-        fit_words as (select ref, k, avg(p) as q from words where not base_failed and n_words >= {quality_rules.REFERENCE_WORDS} and lang = ref group by all),
+        fit_chars as (select lang as ref, k, avg(p) as q from chars where doc_id in (select doc_id from fit) and lang in (select ref from langs) group by all),
+        fit_words as (select ref, k, avg(p) as q from words where doc_id in (select doc_id from fit) and lang = ref group by all),
         char_far as (select doc_id, min(d) as far from (select doc_id, ref, {_JSD} as d from chars join fit_chars using (k) group by all) group by doc_id),
         word_far as (select doc_id, min(d) as far from (select doc_id, ref, {_JSD} as d from words join fit_words using (ref, k) group by all) group by doc_id)
         select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               not base_failed
-               and not coalesce(n_words >= {quality_rules.CHAR_GUARD} and c.far > {quality_rules.CHAR_LIMIT[0]} + {quality_rules.CHAR_LIMIT[1]} / sqrt(n_words), false)
-               and not coalesce(n_words >= {quality_rules.WORD_GUARD} and w.far > {quality_rules.WORD_LIMIT[0]} + {quality_rules.WORD_LIMIT[1]} / sqrt(n_words), false) as kept
-        from base left join char_far c using (doc_id) left join word_far w using (doc_id)""",
+               not base_failed and (b.ref is null or not (
+               coalesce(n_words >= {quality_rules.CHAR_GUARD} and c.far > {quality_rules.CHAR_LIMIT[0]} + {quality_rules.CHAR_LIMIT[1]} / sqrt(n_words), false)
+               or coalesce(n_words >= {quality_rules.WORD_GUARD} and w.far > {quality_rules.WORD_LIMIT[0]} + {quality_rules.WORD_LIMIT[1]} / sqrt(n_words), false))) as kept
+        from (select base.*, langs.ref from base left join langs on langs.ref = base.lang) b left join char_far c using (doc_id) left join word_far w using (doc_id)""",
     "op1_licenses": f"""
         with template as (select license, {_NORMAL} as ws from (values {_VALUES}) v(license, text)),
         sized as (select license, ws, least(5, len(ws)) as width from template),
