@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -104,6 +105,29 @@ def test_query_against_brute_force(spark, tmp_path):
     assert all(got[d].score == pytest.approx(score) and got[d].held_out == (zlib.crc32(str(d).encode()) % 4 == 2) for d, (_, score) in want.items())
 
 
+def test_long_sequences_in_blocks(monkeypatch):
+    """Equal to the plain walk, ties as well; few different scores make many."""
+    rng = np.random.default_rng(7)
+    for labels in (1, 2, 4, 6):
+        for transitions in (1.0, 0.0, rng.integers(-2, 3, (labels, labels)).astype(float), rng.normal(size=(labels, labels))):
+            for scores in (rng.integers(-1, 2, (3000, labels)).astype(np.float32), rng.normal(size=(3000, labels)).astype(np.float32)):
+                lengths = np.array([0, 1, 2, 3, 700, 5, 1500, 789])
+                want = viterbi.decode(scores, lengths, transitions)
+                for long in (1, 4, 600):
+                    monkeypatch.setattr(viterbi, "LONG", long)
+                    assert np.array_equal(viterbi.decode(scores, lengths, transitions), want)
+                monkeypatch.undo()
+
+
+def test_a_long_text_takes_no_time_of_its_own():
+    rng = np.random.default_rng(8)
+    for labels, transitions in ((4, 6.0), (6, rng.normal(size=(6, 6)))):
+        scores = rng.normal(size=(1_000_000, labels)).astype(np.float32)
+        start = time.perf_counter()
+        viterbi.decode(scores, np.array([1_000_000]), transitions)
+        assert time.perf_counter() - start < 5
+
+
 def test_letters_are_category_l():
     for c in map(chr, range(0x30000)):
         assert bool(langid.words_of(f"{c}½")) == bool(regex.fullmatch(r"\p{L}", c)) or unicodedata.category(c) == "Cn", hex(ord(c))
