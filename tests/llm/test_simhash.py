@@ -73,7 +73,7 @@ def test_components_of_chains_and_stars(spark):
     chain = [(i * 7 % 101, (i + 1) * 7 % 101) for i in range(100)]
     star = [(1000, 2000 + i) for i in range(50)] + [(1000, 1000)]
     edges = spark.createDataFrame([*chain, *star, *chain], "a long, b long")
-    for broadcast, hot in ((500_000, 1000), (20, 3), (20, 1000), (0, 3)):
+    for broadcast, hot in ((500_000, 1000), (20, 3), (20, 1000), (2, 1), (0, 3)):
         got = {r.node: r.root for r in simhash.components(edges, broadcast, hot).collect()}
         assert got == {i: 0 for i in range(101)} | {n: 1000 for n in (1000, *range(2000, 2050))}
     assert simhash.components(edges.limit(0)).count() == 0

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.storage import shared_dir
+
 #: ASCII white space; what bytes.split() and bytes.strip() take, too.
 SPACE = " \t\n\x0b\x0c\r"
 #: Characters that a task handles at once.
@@ -19,9 +21,8 @@ BROADCAST_NODES, HOT_LINKS = 500_000, 1000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or else one under the warehouse: both are shared by all executors."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tidewater"
+    """The folder in spark.checkpoint.dir, which all executors share; on one machine alone one under the warehouse will do."""
+    return shared_dir(spark)
 
 
 def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
@@ -91,7 +92,7 @@ def components(edges: DataFrame, broadcast: int = BROADCAST_NODES, hot: int = HO
     Links from a node to itself and repeated links count for nothing; without links there are no rows.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
+    seen, scrap = None, []
     while True:
         found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
         if (found.n, found.h) == seen or not found.n:
@@ -100,22 +101,28 @@ def components(edges: DataFrame, broadcast: int = BROADCAST_NODES, hot: int = HO
         small = 2 * found.n <= broadcast
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both, least, small, broadcast, hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = _with_least(both, least, small, broadcast, hot, scrap).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        linked = _with_least(large, least, small, broadcast, hot).select(F.col("b").alias("x"), "m").where("x <> m")
+        linked = _with_least(large, least, small, broadcast, hot, scrap).select(F.col("b").alias("x"), "m").where("x <> m")
         step = linked.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         after = stored(step.where("a <> b").distinct(), "links")
-        unstored(now)
+        for table in (now, *scrap):
+            unstored(table)
+        scrap.clear()
         now = after
 
 
-def _with_least(links: DataFrame, least: DataFrame, small: bool, broadcast: int, hot: int) -> DataFrame:
-    """`links` (a, b) with m of `least` (a, m, n links), which has every a."""
+def _with_least(links: DataFrame, least: DataFrame, small: bool, broadcast: int, hot: int, scrap: list[DataFrame]) -> DataFrame:
+    """`links` (a, b) with m of `least` (a, m, n links), which has every a. Where over `broadcast` nodes are hot, the hottest are broadcast."""
     if small:
         return links.join(F.broadcast(least.drop("n")), "a")
-    least = stored(least, "least")
-    busy = least.where(F.col("n") > hot).drop("n")
-    if not 0 < busy.count() <= broadcast:
+    scrap.append(least := stored(least, "least"))
+    busy = least.where(F.col("n") > hot)
+    many = busy.count()
+    if not many or not broadcast:
         return links.join(least.drop("n"), "a")
-    busy, rest = F.broadcast(busy), least.where(F.col("n") <= hot).drop("n")
+    if many > broadcast:
+        hot = busy.orderBy(F.desc("n")).limit(broadcast).agg(F.min("n")).first()[0]  # of those with as many links none is taken
+        busy = least.where(F.col("n") > hot)
+    busy, rest = F.broadcast(busy.drop("n")), least.where(F.col("n") <= hot).drop("n")
     return links.join(busy, "a").unionByName(links.join(busy, "a", "left_anti").join(rest, "a"))

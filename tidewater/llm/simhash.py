@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import components, free_name, map_texts, stored
+from tidewater.llm.shared import components, free_name, map_texts, stored, unstored
 
 #: A shingle's words, and the seed of its XXH64.
 WORDS, SEED = 3, 42
@@ -90,19 +90,21 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in pairs]), pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def links(distinct: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+def links(distinct: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEVELS, scrap: list[DataFrame] | None = None) -> DataFrame:
     """Links (a, b) that join up the same fingerprints as all pairs of `distinct` (fp) within DISTANCE bits do.
 
     Buckets beyond `group` fingerprints never meet in a task: their members go to the next level, with longer keys. Each
     fingerprint so costs a row for each table of a level at most, and a bucket gives less links than it has members.
+    Tables that the result reads are added to `scrap`.
     """
-    found = []
+    found, scrap = [], [] if scrap is None else scrap
     for level, blocks in enumerate(levels):
         tables = F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks(blocks))))
         keyed = distinct.select("fp", F.explode(tables).alias("at")).select("fp", "at.t", "at.key")
         cold = keyed
         if level < len(levels) - 1:
             hot = stored(keyed.groupBy("t", "key").count().where(F.col("count") > group).select("t", "key"), "hot")
+            scrap.append(hot)
             n = hot.count()
             if n:
                 hot = F.broadcast(hot) if n <= BROADCAST_KEYS else hot
@@ -112,6 +114,7 @@ def links(distinct: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEV
         if level == len(levels) - 1 or not n:
             break
         distinct = stored(keyed.join(hot, ["t", "key"], "left_semi").select("fp").distinct(), "hot-fps")
+        scrap.append(distinct)
         distinct = distinct.repartition("fp")
     out = found[0]
     for more in found[1:]:
@@ -119,10 +122,14 @@ def links(distinct: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEV
     return out
 
 
-def _rooted(distinct: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEVELS) -> DataFrame:
-    """(fp, least_id, root) for `distinct` (fp, least_id): root is the smallest fingerprint of fp's component."""
-    roots = stored(components(links(distinct.select("fp"), group, levels)), "roots")
-    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+def _rooted(distinct: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """(fp, least_id, root) for `distinct` (fp, least_id), root being the smallest fingerprint of fp's component; and the table it reads."""
+    scrap: list[DataFrame] = []
+    found = components(links(distinct.select("fp"), group, levels, scrap))
+    roots = stored(found, "roots")
+    for table in (found, *scrap):
+        unstored(table)
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), roots
 
 
 def near_duplicates(docs: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEVELS) -> DataFrame:
@@ -134,7 +141,9 @@ def near_duplicates(docs: DataFrame, group: int = GROUP, levels: tuple[int, ...]
     read, whatever their names; an empty table gives no rows.
     """
     marked = stored(fingerprints(docs), "fingerprints")
-    rooted = stored(_rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), group, levels), "rooted")
+    found, roots = _rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), group, levels)
+    rooted = stored(found, "rooted")
+    unstored(roots)
     least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_fp = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
@@ -151,6 +160,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), F.col(row).alias("row"))
     marked = stored(fingerprints(rows.select(key.alias("key"), "text"), "key"), "fingerprints")
-    rooted = _rooted(marked.groupBy("fp").agg(F.min("key").alias("least_id")))
+    rooted, _ = _rooted(marked.groupBy("fp").agg(F.min("key").alias("least_id")))
     least = rooted.groupBy("root").agg(F.min("least_id").alias("key")).select(F.col("key.row").alias(row))
     return rows.join(least.hint("merge"), row, "left_semi").select(*docs.columns)
