@@ -15,7 +15,7 @@ from tidewater.llm.lines import drop_frequent_lines
 from tidewater.llm.packing import pack
 from tidewater.llm.pii import redact_pii
 from tidewater.llm.quality_rules import drop_rejected
-from tidewater.llm.shared import free_name, work_dir
+from tidewater.llm.shared import free_name, unstored, work_dir
 from tidewater.llm.simhash import drop_near_duplicates
 
 
@@ -59,11 +59,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over `documents`; each stage's result is written to the shared folder and read again."""
+    """All stages in turn over `documents`; each stage's result is written to the shared folder, read again, and goes after the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{work_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
         path = f"{base}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, spark.read.parquet(path)
+        if name != STAGES[0][0]:
+            unstored(before)
     return docs
