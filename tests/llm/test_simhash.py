@@ -46,6 +46,8 @@ def test_edges(spark):
     found = simhash.near_duplicates(docs)
     as_hex = [(r.doc_id, f"{r.fp % 2**64:016x}", r.component_id) for r in found.collect()]
     assert sorted(as_hex, key=repr) == brute(rows)
+    for hot in (0, 1):  # every key is heavy, and those of several rows
+        assert sorted(map(repr, simhash.near_duplicates(docs, hot=hot).collect())) == sorted(map(repr, found.collect()))
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert {5, 8, 10, 11} <= {r.doc_id for r in kept.collect()} and kept.where("doc_id in (6, 7, 9)").count() == 0

@@ -16,8 +16,9 @@ from tidewater.storage import shared_dir
 SPACE = " \t\n\x0b\x0c\r"
 #: Characters that a task handles at once.
 SLICE_BYTES = 4_000_000
-#: Rows (node, least) up to which components() broadcasts them, some 24 MB; and links of a node beyond which it is hot.
-BROADCAST_NODES, HOT_LINKS = 500_000, 1000
+#: Rows (node, least) up to which components() broadcasts them, some 24 MB; links of a node beyond which it is hot, and rows
+#: of another key.
+BROADCAST_NODES, HOT_LINKS, HOT_ROWS = 500_000, 1000, 100_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -101,9 +102,9 @@ def components(edges: DataFrame, broadcast: int = BROADCAST_NODES, hot: int = HO
         small = 2 * found.n <= broadcast
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both, least, small, broadcast, hot, scrap).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = join_unique(both, least, "a", scrap, small, broadcast, hot).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        linked = _with_least(large, least, small, broadcast, hot, scrap).select(F.col("b").alias("x"), "m").where("x <> m")
+        linked = join_unique(large, least, "a", scrap, small, broadcast, hot).select(F.col("b").alias("x"), "m").where("x <> m")
         step = linked.select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         after = stored(step.where("a <> b").distinct(), "links")
         for table in (now, *scrap):
@@ -112,17 +113,22 @@ def components(edges: DataFrame, broadcast: int = BROADCAST_NODES, hot: int = HO
         now = after
 
 
-def _with_least(links: DataFrame, least: DataFrame, small: bool, broadcast: int, hot: int, scrap: list[DataFrame]) -> DataFrame:
-    """`links` (a, b) with m of `least` (a, m, n links), which has every a. Where over `broadcast` nodes are hot, the hottest are broadcast."""
+def join_unique(rows: DataFrame, unique: DataFrame, key: str, scrap: list[DataFrame], small: bool = False, broadcast: int = BROADCAST_NODES, hot: int = HOT_ROWS) -> DataFrame:
+    """`rows` with the columns of `unique`, which has one row for every `key` of theirs, and in n how many of them there are.
+
+    With `small`, all of it is broadcast. Else only the keys of over `hot` rows are, so that the rows of such a key stay
+    where they are and never meet in one task; where those are over `broadcast`, the hottest of them. The others are
+    joined by a shuffle. The table that this writes is added to `scrap`.
+    """
     if small:
-        return links.join(F.broadcast(least.drop("n")), "a")
-    scrap.append(least := stored(least, "least"))
-    busy = least.where(F.col("n") > hot)
+        return rows.join(F.broadcast(unique.drop("n")), key)
+    scrap.append(unique := stored(unique, "unique"))
+    busy = unique.where(F.col("n") > hot)
     many = busy.count()
     if not many or not broadcast:
-        return links.join(least.drop("n"), "a")
+        return rows.join(unique.drop("n"), key)
     if many > broadcast:
-        hot = busy.orderBy(F.desc("n")).limit(broadcast).agg(F.min("n")).first()[0]  # of those with as many links none is taken
-        busy = least.where(F.col("n") > hot)
-    busy, rest = F.broadcast(busy.drop("n")), least.where(F.col("n") <= hot).drop("n")
-    return links.join(busy, "a").unionByName(links.join(busy, "a", "left_anti").join(rest, "a"))
+        hot = busy.orderBy(F.desc("n")).limit(broadcast).agg(F.min("n")).first()[0]  # of those with as many rows none is taken
+        busy = unique.where(F.col("n") > hot)
+    busy, rest = F.broadcast(busy.drop("n")), unique.where(F.col("n") <= hot).drop("n")
+    return rows.join(busy, key).unionByName(rows.join(busy, key, "left_anti").join(rest, key))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import components, free_name, map_texts, stored, unstored
+from tidewater.llm.shared import HOT_ROWS, components, free_name, join_unique, map_texts, stored, unstored
 
 #: A shingle's words, and the seed of its XXH64.
 WORDS, SEED = 3, 42
@@ -123,16 +123,16 @@ def links(distinct: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEV
 
 
 def _rooted(distinct: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEVELS) -> tuple[DataFrame, DataFrame]:
-    """(fp, least_id, root) for `distinct` (fp, least_id), root being the smallest fingerprint of fp's component; and the table it reads."""
+    """`distinct` (fp, ..) with root, the smallest fingerprint of fp's component; and the table that it reads."""
     scrap: list[DataFrame] = []
     found = components(links(distinct.select("fp"), group, levels, scrap))
     roots = stored(found, "roots")
     for table in (found, *scrap):
         unstored(table)
-    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), roots
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select(*distinct.columns, F.coalesce("root", "fp").alias("root")), roots
 
 
-def near_duplicates(docs: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+def near_duplicates(docs: DataFrame, group: int = GROUP, levels: tuple[int, ...] = LEVELS, hot: int = HOT_ROWS) -> DataFrame:
     """(doc_id, fp, component_id) for every row of `docs` (doc_id, text): component_id is the smallest doc_id reachable.
 
     Rows whose texts are empty or null have fingerprint 0 and link like any other. Repeated rows stay, each with the same
@@ -140,13 +140,14 @@ def near_duplicates(docs: DataFrame, group: int = GROUP, levels: tuple[int, ...]
     goes on. A bit that half of the hashes have is 0. Texts are taken whole, whatever their length. Other columns are not
     read, whatever their names; an empty table gives no rows.
     """
-    marked = stored(fingerprints(docs), "fingerprints")
-    found, roots = _rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")), group, levels)
+    marked, scrap = stored(fingerprints(docs), "fingerprints"), []
+    found, roots = _rooted(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_rows")), group, levels)
     rooted = stored(found, "rooted")
     unstored(roots)
-    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    # A giant component and the copies of one text stay spread: see join_unique().
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n"))
+    by_fp = join_unique(rooted, least, "root", scrap, hot=hot).select("fp", "component_id", F.col("n_rows").alias("n"))
+    return join_unique(marked, by_fp, "fp", scrap, hot=hot).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
