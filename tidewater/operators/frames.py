@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EXCLUDES = ("no others", "current row", "group", "ties")
+#: How the aggregates of groups make that of a frame.
+MERGES = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
 
 
 def groups_frame(df: DataFrame, by: list[str], order: list[str], start: int | None, end: int | None, aggregates: dict[str, tuple[str, str]], exclude: str = "no others") -> DataFrame:
@@ -30,35 +32,26 @@ def groups_frame(df: DataFrame, by: list[str], order: list[str], start: int | No
     rows = df.toDF(*own)
     values = {name: F.lit(1) if column == "*" else F.col(at[column]) for name, (_, column) in aggregates.items()}
     rows = rows.withColumns({k: F.col(at[c]) for k, c in zip(keys, [*by, *order], strict=True)} | {f"_v{i}": v for i, v in enumerate(values.values())})
-    parts: list[Column] = []
-    for i, (function, _) in enumerate(aggregates.values()):
-        v = F.col(f"_v{i}")
-        if function in ("sum", "count"):
-            parts.append((F.sum(v) if function == "sum" else F.count(v)).alias(f"_a{i}"))
-            parts.append(F.count(v).alias(f"_n{i}"))
-        elif function in ("min", "max"):
-            # The first two values in order, with repeats: of which the second stands in where the first is the row's own.
-            parts.append((F.min(v) if function == "min" else F.max(v)).alias(f"_a{i}"))
-            parts.append(F.count(v).alias(f"_n{i}"))
-        else:
-            raise ValueError(f"no frame for {function}")
-    seconds = [i for i, (function, _) in enumerate(aggregates.values()) if function in ("min", "max") and exclude == "current row"]
+    functions = [function for function, _ in aggregates.values()]
+    if unknown := set(functions) - MERGES.keys():
+        raise ValueError(f"no frame for {unknown}")
+    # Of each group: the aggregate, and how many values it is of.
+    parts = [p for i, f in enumerate(functions) for p in ((F.count if f == "count" else MERGES[f])(f"_v{i}").alias(f"_a{i}"), F.count(f"_v{i}").alias(f"_n{i}"))]
+    seconds = [i for i, f in enumerate(functions) if f in ("min", "max") and exclude == "current row"]
     groups = rows.groupBy(*keys).agg(*parts)
     for i in seconds:
         # How often the extreme value occurs, and the next one: a second look at the group's values, again pre-aggregated.
-        function = list(aggregates.values())[i][0]
         counted = rows.where(F.col(f"_v{i}").isNotNull()).groupBy(*keys, f"_v{i}").agg(F.count("*").alias("_m"))
-        best = F.min if function == "min" else F.max
-        order_of = F.col(f"_v{i}").asc() if function == "min" else F.col(f"_v{i}").desc()
+        order_of = F.col(f"_v{i}").asc() if functions[i] == "min" else F.col(f"_v{i}").desc()
         first = counted.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order_of))).where("_r <= 2")
-        pair = first.groupBy(*keys).agg(F.max(F.when(F.col("_r") == 1, F.col("_m"))).alias(f"_m{i}"), best(F.when(F.col("_r") == 2, F.col(f"_v{i}"))).alias(f"_b{i}"))
+        pair = first.groupBy(*keys).agg(F.max(F.when(F.col("_r") == 1, F.col("_m"))).alias(f"_m{i}"), F.max(F.when(F.col("_r") == 2, F.col(f"_v{i}"))).alias(f"_b{i}"))
         groups = _beside(groups, pair, keys, "left")
     part = Window.partitionBy(*keys[: len(by)]).orderBy(*keys[len(by) :])
     low, high = (Window.unboundedPreceding if start is None else start), (Window.unboundedFollowing if end is None else end)
     frames = {}
     inside = (start is None or start <= 0) and (end is None or end >= 0)  # whether the own group is in the frame
-    for i, (function, _) in enumerate(aggregates.values()):
-        merge = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}[function]
+    for i, function in enumerate(functions):
+        merge = MERGES[function]
         if exclude == "no others" or not inside:
             frames[f"_f{i}"] = merge(f"_a{i}").over(part.rowsBetween(low, high))
         else:
@@ -66,7 +59,7 @@ def groups_frame(df: DataFrame, by: list[str], order: list[str], start: int | No
             before = merge(f"_a{i}").over(part.rowsBetween(low, -1)) if start is None or start < 0 else nothing
             after = merge(f"_a{i}").over(part.rowsBetween(1, high)) if end is None or end > 0 else nothing
             frames[f"_f{i}"] = _merged(function, before, after)
-    kept = [*(f"_n{i}" for i in range(len(parts) // 2)), *(f"_a{i}" for i in range(len(parts) // 2)), *(f"_{x}{i}" for i in seconds for x in "mb")]
+    kept = [*(f"_{x}{i}" for i in range(len(functions)) for x in "na"), *(f"_{x}{i}" for i in seconds for x in "mb")]
     found = _beside(rows, groups.select(*keys, *kept, *(f.alias(n) for n, f in frames.items())), keys, "inner")
     out = []
     for i, (name, (function, _)) in enumerate(aggregates.items()):

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,8 +76,6 @@ def summarize(df: DataFrame, item: str, counters: int = COUNTERS, fanin: int = F
     scratch = Scratch(df.sparkSession, "frequent")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
         held = None
         for batch in batches:
             values = batch.column(0)
@@ -98,8 +97,8 @@ def summarize(df: DataFrame, item: str, counters: int = COUNTERS, fanin: int = F
         merged = now.withColumn("up", F.floor(F.col("part") / fanin)).groupBy("up").applyInArrow(merge, schema)
         now = scratch.keep(merged, f"level-{level}")
         scratch.drop(f"level-{level - 1}")
-    lost = now.where("lost").agg(F.sum("n").alias("lost"))
-    return now.where("NOT lost").select("item", "n").join(F.broadcast(lost))  # one row
+    lost = now.where("lost").agg(F.sum("n")).first()[0] or 0
+    return now.where("NOT lost").select("item", "n", F.lit(lost).cast("bigint").alias("lost"))
 
 
 def top_items(df: DataFrame, item: str, k: int, counters: int = COUNTERS) -> DataFrame:

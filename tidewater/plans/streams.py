@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.streaming.events import interval_join, sessions
 from tidewater.streaming.funnel import funnel
-from tidewater.streaming.runs import Finished, event_stream, run_to_end
+from tidewater.streaming.runs import Finished, event_stream, run_to_end, without_zone
 
 
 def session_run(spark: SparkSession, path: str, files: int | None = None) -> Finished:
@@ -22,7 +22,7 @@ def session_run(spark: SparkSession, path: str, files: int | None = None) -> Fin
 def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's sessions that have ended when the stream does."""
     found = session_run(spark, f"{sf_dir}/events.parquet").rows
-    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
+    return found.withColumns({c: without_zone(F.col(c)) for c in ("started", "ended")})
 
 
 def join_run(spark: SparkSession, path: str, how: str, files: int | None = None) -> Finished:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,14 +37,25 @@ def _settings(spark: SparkSession, settings: dict[str, str]):
 def event_stream(spark: SparkSession, path: str, at: str = "ts", files: int | None = None) -> DataFrame:
     """The Parquet files of `path` as a stream, `files` in a batch, with `at` as a timestamp that watermarks take.
 
-    A time without a zone is taken as the session's, which is UTC in this library.
+    A time without a zone is taken as UTC, whatever the session's zone.
     """
     pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern may match a single file, which a plain path of a stream may not name
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(pattern)
+    if isinstance(stream.schema[at].dataType, T.TimestampNTZType):
+        return stream.withColumn(at, F.timestamp_micros(F.timestamp_diff("MICROSECOND", _epoch(), F.col(at))))
     return stream.withColumn(at, F.col(at).cast("timestamp"))
 
 
+def without_zone(at: Column) -> Column:
+    """A timestamp as its time in UTC without a zone, as event_stream() reads one."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(at), _epoch())
+
+
+def _epoch() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
 @dataclass
 class Finished:
     """A stream's rows as a table, and what its batches reported."""
@@ -72,14 +84,8 @@ def run_to_end(stream: DataFrame, name: str, folder: str | None = None) -> Finis
         query = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     try:
         query.awaitTermination()
-        batches = [p if isinstance(p, dict) else _as_dict(p) for p in query.recentProgress]
+        batches = [json.loads(p.json) for p in query.recentProgress]
     finally:
         query.stop()
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema])
     return Finished(spark.read.schema(schema).parquet(f"{base}/rows"), batches)
-
-
-def _as_dict(progress) -> dict:
-    import json
-
-    return json.loads(progress.json)
