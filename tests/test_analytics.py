@@ -198,3 +198,16 @@ def test_top_items_edges(spark):
     assert [tuple(r) for r in top_items(df, "item", 2).orderBy(F.col("n").desc(), "item").collect()] == [("a", 5), ("b", 3)]
     assert top_items(df.limit(0), "item", 2).count() == 0 and summarize(df.limit(0), "item").count() == 0
     assert top_items(df.where("item IS NULL"), "item", 2).count() == 0
+
+
+@pytest.mark.parametrize("k", [3, 20])
+def test_top_items_of_more_values_than_counters(spark, k):
+    """Counts so even that a summary loses the first values, or all of them; and one value that stands out."""
+    even = [(i,) for i in range(400) for _ in range(3)] + [(i,) for i in (399, 17, 300)]
+    flat = [(i,) for i in range(400)]
+    steep = flat + [(i,) for i in range(390, 395) for _ in range(500)]
+    for rows in (even, flat, steep):
+        random.Random(6).shuffle(rows)
+        df = spark.createDataFrame(rows, "item long").repartition(5)
+        want = sorted(Counter(i for (i,) in rows).items(), key=lambda r: (-r[1], r[0]))[:k]
+        assert [tuple(r) for r in top_items(df, "item", k, 50).collect()] == want

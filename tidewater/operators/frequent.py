@@ -105,11 +105,22 @@ def top_items(df: DataFrame, item: str, k: int, counters: int = COUNTERS) -> Dat
     """(item, n): the `k` most frequent values of `item` with their exact counts; of equal counts the smaller values.
 
     Candidates come from a summary: every value that may be among the first `k`, of which there are `counters` at most.
-    Their counts come from a second look at the rows, by a semi join. Where the k-th count is above the summary's bound no
-    other value can be among them, so the result is exact; else it is one value among others of about the same frequency.
+    Their counts come from a second look at the rows, by a semi join. Where the summary lost nothing, or the k-th count is
+    above what it lost, no other value can be among them. Else (many values of about the same frequency) all values are
+    counted, each task's before the shuffle, so the result is exact either way. Nulls are no items.
     """
     scratch = Scratch(df.sparkSession, "top")
     found = scratch.keep(summarize(df, item, counters), "summary")
     few = found.select("item")  # `counters` rows at most
-    rows = df.select(F.col(item).alias("item")).join(F.broadcast(few), "item", "left_semi")
+    rows = df.select(F.col(item).alias("item")).where("item IS NOT NULL")
+    top = scratch.keep(_first(rows.join(F.broadcast(few), "item", "left_semi"), k), "candidates")
+    lost = found.agg(F.max("lost")).first()[0]  # null without candidates: then nothing is known of any value
+    n_top, least = top.agg(F.count("*"), F.min("n")).first()
+    if lost is None or (lost > 0 and (n_top < k or least <= lost)):
+        return _first(rows, k)
+    return top.orderBy(F.col("n").desc(), "item")
+
+
+def _first(rows: DataFrame, k: int) -> DataFrame:
+    """The `k` most frequent values of `item` in `rows`, counted."""
     return rows.groupBy("item").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "item").limit(k)
