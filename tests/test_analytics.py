@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators.antijoin import not_in
 from tidewater.operators.distincts import cube, grouping_sets_distinct, rollup
-from tidewater.operators.frames import EXCLUDES, groups_frame
+from tidewater.operators.frames import EXCLUDES, Frame, groups_frame, groups_frames
 from tidewater.operators.frequent import Summary, summarize, top_items
 from tidewater.plans import analytics
 
@@ -60,6 +60,19 @@ def test_frames_against_duckdb(spark, exclude):
     assert groups_frame(df.limit(0), ["p"], ["o"], -1, 1, wanted, exclude).count() == 0
 
 
+def test_frames_of_the_same_groups_in_one_pass(spark):
+    """Several frames at once give what each gives alone; a table is read for groups, seconds and rows, not for each frame."""
+    rng = random.Random(7)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, *range(6)]), rng.choice([None, 1, 1, 2, 3])) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, p string, o int, v int")
+    frames = [Frame(start, end, {f"{f}_{i}": (f, "*" if f == "count" else "v") for f in ("sum", "count", "min", "max")}, exclude) for i, (start, end, exclude) in enumerate(itertools.product((-1, None), (0, 2), EXCLUDES))]
+    got = groups_frames(df, ["p"], ["o"], frames)
+    for frame in frames:
+        same(map(tuple, got.select("id", *frame.aggregates).collect()), map(tuple, groups_frame(df, ["p"], ["o"], *frame).select("id", *frame.aggregates).collect()))
+    plan = analytics.other_lines(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") <= 4
+
+
 def test_frames_refuse_what_they_cannot(spark):
     df = spark.createDataFrame([(1, 2)], "a int, b int")
     with pytest.raises(ValueError):

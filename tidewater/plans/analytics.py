@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators.antijoin import not_in
 from tidewater.operators.distincts import cube, grouping_sets_distinct
-from tidewater.operators.frames import groups_frame
+from tidewater.operators.frames import Frame, groups_frame, groups_frames
 from tidewater.operators.frequent import top_items
 from tidewater.sources.tables import table
 
@@ -28,10 +28,11 @@ def months_around(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def other_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line beside the others of its supplier in the months around it, its own line, month, or month's others left out."""
-    out = _lines(spark, sf_dir)
+    frames = []
     for short, exclude in (("row", "current row"), ("group", "group"), ("ties", "ties")):
         wanted = {f"quantity_{short}": ("sum", "quantity"), f"lines_{short}": ("count", "*"), f"least_{short}": ("min", "price"), f"most_{short}": ("max", "price")}
-        out = groups_frame(out, ["l_suppkey"], ["month"], -1, 1, wanted, exclude)
+        frames.append(Frame(-1, 1, wanted, exclude))
+    out = groups_frames(_lines(spark, sf_dir), ["l_suppkey"], ["month"], frames)
     named = [c for c in out.columns if c.startswith(("quantity_", "lines_", "least_", "most_"))]
     doubles = {c: F.col(c).cast("double") for c in named if not c.startswith("lines_")}
     return out.withColumns(doubles).select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "month", *named)
