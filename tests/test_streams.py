@@ -3,12 +3,14 @@ import os
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators.intervals import overlap_join
 from tidewater.plans import streams
 from tidewater.streaming.events import interval_join, sessions
+from tidewater.streaming.funnel import BUCKETS, Funnel
 from tidewater.streaming.runs import event_stream, run_to_end
 
 SF = "/root/testdata/sf0.001"
@@ -163,6 +165,58 @@ def test_funnel_over_batches_and_a_restart(spark, tmp_path):
     assert {v is None for v in (x for (x,) in decided.values())} == {True, False}
 
 
+def test_state_of_a_funnel_grows_with_slots_and_not_with_keys(spark, tmp_path):
+    rows = [(i, i % 80, i, "view") for i in range(4000)] + [(5000 + i, 100 + i % 80, i, "purchase") for i in range(0, 4000, 2)] + [(9999, 9000, 1, "click"), (10_000, 9000, 1, "view")]
+    write(spark, f"{tmp_path}/e", [rows[:3000], rows[3000:]])
+    finished = streams.funnel_run(spark, f"{tmp_path}/e", 1)
+    got = sorted(repr((r.first_id, r.second_id)) for r in finished.rows.collect())
+    assert got == sorted(repr((i, None if i % 2 else 5000 + i)) for i in range(4000))
+    # Two slots of views and two of purchases at most, and a timer (a row and one by time) for each batch.
+    assert 0 < max(finished.state_rows()) <= BUCKETS * (4 + 2 * 2)
+
+
+class OneState:
+    """A bucket's map and timers as a Funnel sees them."""
+
+    def __init__(self):
+        self.map, self.timers, self.mark = {}, set(), 0
+        self.getMapState = lambda name, key, value: self
+        self.getValue, self.removeKey, self.keys = self.map.get, self.map.pop, lambda: iter(list(self.map))
+        self.updateValue, self.registerTimer = self.map.__setitem__, self.timers.add
+        self.getCurrentWatermarkInMs = lambda: self.mark
+
+    def fire(self, funnel):
+        for due in sorted(t for t in self.timers if t < self.mark):
+            self.getExpiryTimeInMs = lambda due=due: due
+            yield from funnel.handleExpiredTimer((0,), self, self)
+            self.timers.discard(due)
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1000])
+def test_funnel_in_pieces(at_once):
+    """However few steps are taken in or decided at once, and however far apart slots lie, results are the brute force's."""
+    for seed in range(20):
+        rng = random.Random(seed)
+        window, slot = rng.choice([(16_000, 1000), (10_000, 10_000), (5000, 3000)])
+        state, funnel, got = OneState(), Funnel(window, slot, at_once), []
+        funnel.init(state)
+        rows, mark = [], 0
+        for _ in range(6):
+            new = [(rng.randint(-3, 3), mark * 1000 + rng.choice([1, 40]) * rng.randint(0, 20_000), rng.randint(0, 99), rng.choice([1, 2])) for _ in range(30)]
+            rows += new
+            table = pd.DataFrame(new, columns=["key", "at", "id", "step"])
+            assert not list(funnel.handleInputRows((0,), iter([table[:13], table[13:]]), state))
+            state.mark = mark = mark + rng.choice([1, 20, 300])
+            got += [tuple(None if pd.isna(x) else int(x) for x in r) for f in state.fire(funnel) for r in f.itertuples(index=False)]
+            want = []
+            for key, at, id, step in rows:
+                if step == 1 and funnel._due(at // slot) < mark:
+                    n, e = min(((n, e) for k, n, e, s in rows if s == 2 and k == key and at <= n <= at + window), default=(None, None))
+                    want.append((key, id, at, e, n))
+            assert sorted(map(repr, got)) == sorted(map(repr, want))
+            assert all(funnel._due(s) >= mark for (s,) in state.map) and (not state.map or min(state.timers) <= funnel._due(min(state.map)[0]))
+
+
 def test_empty_stream(spark, tmp_path):
     write(spark, f"{tmp_path}/e", [[]])
     assert streams.session_run(spark, f"{tmp_path}/e").rows.count() == 0
